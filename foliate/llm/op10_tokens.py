@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import bounded_batches
 from .vector import FOLD, HashTable, buckets, slices, words
 
 SYMBOLS = 512
@@ -115,6 +116,7 @@ def _automaton(data: bytes) -> LongestMatch:
 
 
 def _vocabulary(spark: SparkSession, path: str):
+    bounded_batches(spark)
     with open(path, "rb") as f:
         data = f.read()
     if len(data) > 64 << 20:

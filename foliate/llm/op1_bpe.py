@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import bounded_batches
 from .vector import HashTable, U64, buckets, gather, slices
 
 LONG = 256
@@ -198,6 +199,7 @@ def _codec(data: bytes, pattern: str) -> BytePairCodec:
 
 def _vocabulary(spark: SparkSession, path: str):
     """The vocabulary file, read by the driver; its size is fixed by the tokenizer, not by the corpus."""
+    bounded_batches(spark)
     with open(path, "rb") as f:
         data = f.read()
     if len(data) > 64 << 20:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .store import bounded_batches
+
 WIDTH = 3
 SURGE = 86
 
@@ -190,6 +192,7 @@ def extract(page: str | None) -> str:
 
 def main_text(df: DataFrame, html: str = "html", out: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """Replace the html column by ``out`` and ``n_chars`` (code points)."""
+    bounded_batches(df.sparkSession)
     source = df.drop(*{out, n_chars} - {html})
     names = source.columns
     kept = [c for c in names if c != html]

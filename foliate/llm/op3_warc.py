@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import fresh_path, materialise
+from .store import bounded_batches, fresh_path, materialise
 
 GZIP = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
@@ -89,6 +89,7 @@ def write_warc(rows: DataFrame, path: str, records_per_file: int = RECORDS_PER_F
             members = [gzip_member(build_record(*r))[:-1] for r in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["member"])
 
+    bounded_batches(rows.sparkSession)
     members = rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "member binary")
     members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
 

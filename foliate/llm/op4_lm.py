@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import fresh_path, local_path
+from .store import bounded_batches, fresh_path, local_path
 from .vector import U64, pair_hash, slices, words
 
 BEGIN, END = U64(0x5BE0CD19137E2179), U64(0x1F83D9ABFB41BD6B)
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 SHARD_BYTES = 24 << 20
 KNOWN_BYTES = 1 << 56
 STATS = ["n", "v", "types", *(f"t{i}" for i in range(1, 5)), *(f"m{i}" for i in range(1, 5))]
@@ -211,6 +211,7 @@ def _merge_words(path: str):
 def fit(rows: DataFrame, text: str = "text") -> Model:
     """Count and store the model of all rows."""
     spark = rows.sparkSession
+    bounded_batches(spark)
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > KNOWN_BYTES:  # the plan cannot tell, as for rows that are not from files
         size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -278,6 +279,7 @@ _opened: dict[str, _Arrays] = {}
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score and score (log10) of every row."""
+    bounded_batches(df.sparkSession)
     source = df.select(F.col(key), F.col(text).cast("string").alias("text"))
     names = [key, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import discard, materialise
+from .store import bounded_batches, discard, materialise
 from .vector import FOLD, HashTable, U64, mix, slices, words
 
 PIECE_BYTES = 16
@@ -182,6 +182,7 @@ def _lattice(pieces: list[bytes]) -> Lattice:
 def fit(rows: DataFrame, pieces: list[bytes], per_language: int = PER_LANGUAGE, rounds: int = ROUNDS) -> LanguageModel:
     """Learn from rows (doc_id, text, lang), none of them null."""
     spark = rows.sparkSession
+    bounded_batches(spark)
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
@@ -239,6 +240,7 @@ def fit(rows: DataFrame, pieces: list[bytes], per_language: int = PER_LANGUAGE,
 def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """Add lang_pred string and score double (posterior of the language under equal priors) to every row."""
     spark: SparkSession = df.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     source = df.drop("lang_pred", "score")
     names = source.columns

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import discard, materialise
+from .store import bounded_batches, discard, materialise
 from .vector import U64, pair_hash, slices, words
 
 HASHES, BAND = 128, 4
@@ -212,6 +212,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, key: str = "do
     Two documents are linked if 100 * |intersection| >= percent * |union| of their k-word shingle sets.  ``likely`` is the least
     number of the 128 hash functions on which linked signatures are taken to agree (80 for 0.8: five standard deviations).
     """
+    bounded_batches(df.sparkSession)
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = materialise(_signed(docs, k), "signed")
     usable = signed.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())

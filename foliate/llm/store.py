@@ -22,6 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand Python workers whole texts in batches of at most ``rows`` rows, so that a batch is some megabytes, not some tens."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000") or 0) not in range(1, rows + 1):
+        spark.conf.set(name, str(rows))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark)}/foliate/{name}-{uuid.uuid4().hex[:12]}"

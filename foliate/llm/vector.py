@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-WINDOW = 1 << 20
-SLICE_BYTES = 8 << 20
+WINDOW = 1 << 18
+SLICE_BYTES = 4 << 20
 U64 = np.uint64
 
 SPACE = np.zeros(256, bool)
