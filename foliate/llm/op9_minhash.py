@@ -1,7 +1,8 @@
 """Near-duplicate documents by MinHash.
 
 1. Each text becomes its set of ``k``-word shingles (64-bit hashes); with fewer words the whole sequence is one shingle, without
-   words the set is empty.  128 universal hash functions give a signature of minima.
+   words the set is empty.  240 universal hash functions give a signature, the low
+   16 bits of their minima.
 2. Equal sets are one class, whose node is its least doc_id; from here on work is on classes.
 3. Signatures are cut into bands; classes that share a band meet in a bucket.  A bucket's members are compared with its least
    node: first by signature, then on full sets.  Verified links make components (large-star, small-star).
@@ -11,7 +12,7 @@
    components.  Pairs are never rows here, so a group of n near copies costs rows in proportion to n.
 
 No bucket, component or pair is dropped or capped: a link is lost only if its signatures meet in no band (at similarity
-0.8 with 32 bands of 4: 5e-8) or agree in fewer than ``likely`` of the hash functions.
+0.8 with 40 bands of 6: 5e-6) or agree in fewer than ``likely`` of the hash functions.
 
 Null or empty texts, and rows without doc_id, link with nothing: their component is their own doc_id.  Rows that repeat a
 doc_id are one node; each keeps its own n_shingles.  Copies and ties go to the least doc_id.  Empty tables give no rows.
@@ -28,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import bounded_batches, discard, materialise
+from .store import bounded_batches, broadcast_if_small, discard, hold, materialise
 from .vector import U64, pair_hash, slices, words
 
-HASHES, BAND = 128, 4
+HASHES, BAND = 240, 6
 CELL = 1024
 _rng = np.random.default_rng(77)
 _MULTIPLIERS = _rng.integers(1, 1 << 63, (HASHES, 1), dtype=np.uint64) * U64(2) + U64(1)
@@ -59,13 +60,13 @@ def shingle_sets(text: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """Minima of ``(a * x + b mod 2^64) >> 32`` over the set, by hash function."""
+    """The low 16 bits of the minimum of ``(a * x + b mod 2^64) >> 32`` over the set, by hash function."""
     out = np.full(HASHES, 0xFFFFFFFF, np.uint64)
     for at in range(0, len(shingles), 2048):
         part = shingles[at : at + 2048][None, :] * _MULTIPLIERS
         part += _OFFSETS
         np.minimum(out, part.min(axis=1) >> U64(32), out=out)
-    return out.astype(np.uint32)
+    return out.astype(np.uint16)
 
 
 def _signed(df: DataFrame, k: int) -> DataFrame:
@@ -105,18 +106,18 @@ def _alike(pairs: DataFrame, signatures: DataFrame, likely: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (_array(batch.column(c), np.uint32, HASHES) for c in (2, 3))
+                x, y = (_array(batch.column(c), np.uint16, HASHES) for c in (2, 3))
                 yield batch.filter(pa.array((x == y).sum(axis=1) >= likely)).select(["a", "b"])
 
-    left = pairs.join(signatures.select(F.col("node").alias("a"), F.col("signature").alias("x")), "a")
+    left = signatures.select(F.col("node").alias("a"), F.col("signature").alias("x")).join(broadcast_if_small(pairs), "a")
     both = left.join(signatures.select(F.col("node").alias("b"), F.col("signature").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def _sets_of(nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """The sets of the given nodes, from whole texts."""
-    texts = docs.join(nodes.distinct().withColumnRenamed("node", "n"), F.col("doc_id") == F.col("n")).select("n", "text")
-    return materialise(_sets(texts, k).distinct(), "sets")
+    named = broadcast_if_small(nodes.distinct().withColumnRenamed("node", "n"))
+    return hold(_sets(docs.join(named, F.col("doc_id") == F.col("n")).select("n", "text"), k).distinct())
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -130,7 +131,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(bool(len(p) and len(q)) and bool(_linked(p, q, np.array([0]), percent)[0]))
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
+    left = sets.select(F.col("node").alias("a"), F.col("members").alias("x")).join(broadcast_if_small(pairs), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
@@ -155,7 +156,7 @@ def _candidates(table: pa.Table, likely: int) -> tuple[np.ndarray, np.ndarray, n
     """(left rows, right rows, is candidate): different components, signatures likely, first met in this band."""
     i, j, turn = (table.column(c)[0].as_py() for c in ("i", "j", "turn"))
     block, root = table.column("block").to_numpy(), table.column("root").to_numpy()
-    sig = _array(table.column("signature").combine_chunks(), np.uint32, HASHES)
+    sig = _array(table.column("signature").combine_chunks(), np.uint16, HASHES)
     left = np.flatnonzero(block == i)
     right = left if i == j else np.flatnonzero(block == j)
     near = np.zeros((len(left), len(right)), np.int16)
@@ -206,34 +207,37 @@ def _cell_links(cells: DataFrame, likely: int, percent: int) -> DataFrame:
     return cells.groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", likely: int = 80) -> DataFrame:
+def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", likely: int = 161) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row for each row of ``df``.
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their k-word shingle sets.  ``likely`` is the least
-    number of the 128 hash functions on which linked signatures are taken to agree (80 for 0.8: five standard deviations).
+    number of the 240 hash functions on which linked signatures are taken to agree (161 for 0.8: five standard deviations).
     """
     bounded_batches(df.sparkSession)
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = materialise(_signed(docs, k), "signed")
+    signed = hold(_signed(docs, k))
     usable = signed.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
-    classes = materialise(usable.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "classes")
+    classes = hold(usable.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")))
+    member = materialise(
+        usable.select("doc_id", "n_shingles", "set_hash").join(classes.select(F.col("set_hash").alias("same"), "node"), F.col("set_hash") == F.col("same")).select("doc_id", "n_shingles", "node"),
+        "members",
+    )
+    alone = materialise(signed.filter(F.col("set_hash").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")), "alone")
+    signed.unpersist()
     signatures = classes.select("node", "signature")
-    width = 4 * BAND
+    width = 2 * BAND
     cut = F.transform(F.sequence(F.lit(0), F.lit(HASHES // BAND - 1)), lambda i: F.xxhash64(i, F.col("signature").substr(i * width + 1, F.lit(width))))
     bands = signatures.select("node", F.posexplode(cut).alias("turn", "band"))
     leaders = bands.groupBy(F.col("band").alias("g")).agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last")
-    shared = materialise(bands.join(leaders, F.col("band") == F.col("g")).select("band", "turn", "node", "leader"), "shared-bands")
+    shared = hold(bands.join(leaders, F.col("band") == F.col("g")).select("band", "turn", "node", "leader"))
 
     pairs = shared.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     likely_pairs = materialise(_alike(pairs, signatures, likely), "likely-pairs")
     sets = _sets_of(likely_pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, k)
     links = materialise(_links(likely_pairs, sets, percent), "links")
-    discard(likely_pairs, sets)
+    discard(likely_pairs)
+    sets.unpersist()
 
-    member = materialise(
-        usable.select("doc_id", "n_shingles", "set_hash").join(classes.select(F.col("set_hash").alias("same"), "node"), F.col("set_hash") == F.col("same")).select("doc_id", "n_shingles", "node"),
-        "members",
-    )
     repeated = member.groupBy(F.col("doc_id").alias("d")).agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z")
     same_id = member.join(repeated, F.col("doc_id") == F.col("d")).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
     links = links.unionByName(same_id)
@@ -243,12 +247,14 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, key: str = "do
     mixed = placed.groupBy(F.col("band").alias("g")).agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s")
     signature_of = signatures.select(F.col("node").alias("w"), "signature")
     cells = _grid(placed.join(mixed, F.col("band") == F.col("g")).select("band", "turn", "node", "root"))
-    rows = materialise(_with_candidates(cells.join(signature_of, F.col("node") == F.col("w")).drop("w"), likely), "candidates")
+    rows = hold(_with_candidates(cells.join(signature_of, F.col("node") == F.col("w")).drop("w"), likely))
     if not rows.isEmpty():
         sets = _sets_of(rows.select("node"), docs, k)
         whole = rows.join(signature_of, F.col("node") == F.col("w")).drop("w").join(sets, "node")
         links = links.unionByName(materialise(_cell_links(whole, likely, percent), "cell-links"))
+        sets.unpersist()
+    for table in (classes, shared, rows):
+        table.unpersist()
     roots = components(links, "a", "b").withColumnRenamed("node", "w")
     linked = member.join(roots, F.col("node") == F.col("w"), "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("component_id"))
-    alone = signed.filter(F.col("set_hash").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -44,6 +46,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keep a table that several jobs of one operator read on the executors' disks; what a lost executor held is made again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 300_000) -> DataFrame:
+    """Hint a broadcast for a narrow table of numbers if, by its counted rows, it is a few megabytes; else leave it to be shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialised tables that no later job reads."""
     for df in tables:
