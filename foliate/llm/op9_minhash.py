@@ -33,7 +33,7 @@ from .store import bounded_batches, broadcast_if_small, discard, hold, materiali
 from .vector import U64, pair_hash, slices, words
 
 HASHES, BAND = 240, 6
-CELL = 1024
+CELL = 2048
 _rng = np.random.default_rng(77)
 _MULTIPLIERS = _rng.integers(1, 1 << 63, (HASHES, 1), dtype=np.uint64) * U64(2) + U64(1)
 _OFFSETS = _rng.integers(0, 1 << 63, (HASHES, 1), dtype=np.uint64)
