@@ -121,15 +121,18 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
 def edited_likeness(df: DataFrame) -> DataFrame:
     """Each text, its edited text (see the module) and the next document compared by fingerprint, for (doc_id, text)."""
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = neighbours(docs.select("doc_id", F.char_length("text").alias("n"))).withColumnRenamed("doc_id", "id")
-    placed = docs.join(order, F.col("doc_id") == F.col("id"), "left")
+    docs = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))  # bare names, or the two uses below would not share an exchange
+    named, nameless = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
+    order = neighbours(named.select("doc_id", F.char_length("text").alias("n"))).withColumnRenamed("doc_id", "id")
     cut = F.expr("substring(text, 1, cast(floor(before_n / 2) as int))")
-    heads = with_signatures(placed.filter("id is not null"), "text", "next_signatures").select("before", cut.alias("head"), F.array_join("next_signatures", "").alias("next_print"), "text")
-    repeated = materialise(docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 and doc_id is not null").select(F.col("doc_id").alias("twice")), "repeated-ids")
+    heads = with_signatures(named.join(order, F.col("doc_id") == F.col("id")), "text", "next_signatures")
+    heads = heads.select("before", cut.alias("head"), F.array_join("next_signatures", "").alias("next_print"), "text")
+    repeated = materialise(named.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id"), "repeated-ids")
     heads = heads.drop("text") if repeated.isEmpty() else heads.groupBy("before").agg(F.min(F.struct("text", "head", "next_print")).alias("x")).select("before", "x.head", "x.next_print")
+    # the texts are dealt by doc_id once, for this join and the one inside ``heads``
+    rows = named.join(heads, F.col("doc_id") == F.col("before"), "left").select("doc_id", "text", "head", "next_print")
+    rows = rows.unionByName(nameless.select("doc_id", "text", F.lit(None).cast("string").alias("head"), F.lit(None).cast("string").alias("next_print")))
     m = F.floor(F.char_length("text") / 2).cast("int")
-    rows = placed.select("doc_id", "text").join(heads, F.col("doc_id") == F.col("before"), "left")
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("edited", F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 2) as int))"), F.coalesce(F.col("head").substr(F.lit(1), m), F.lit(""))))
     rows = with_signatures(with_signatures(rows, "text", "own"), "edited", "after")
     next_set = F.when(F.length("next_print") > 0, F.regexp_extract_all("next_print", F.lit("[0-9a-f]{8}"), F.lit(0))).otherwise(F.array().cast("array<string>"))
