@@ -31,8 +31,8 @@ from .vector import FOLD, HashTable, U64, mix, slices, words
 
 PIECE_BYTES = 16
 CHUNK = 48
-PER_LANGUAGE = 2_000
-ROUNDS = 3
+PER_LANGUAGE = 1_000
+ROUNDS = 2
 SMOOTHING = 0.05
 CELLS = 1 << 17
 _BASE = U64(0x9E3779B97F4A7C15)
