@@ -1,0 +1 @@
+"""Classify, group and order document pages with Spark, by declarative policies."""
