@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foliate.llm import op1_bpe, op7_language, op8_mixing, op9_minhash
 from foliate.llm.queries import BPE_RANKS, PIECES
-from foliate.llm.store import materialise
+from foliate.llm.store import broadcast_if_small, materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: The mixing targets: nearly all tokens, no document twice; languages and sources by equal weights within what they have.
@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keep the least doc_id of each group linked at a similarity of 0.8 of five-word shingles; of rows that repeat it the least."""
     found = materialise(op9_minhash.near_duplicates(docs.select("doc_id", "text"), k=5, percent=80), "near-duplicates")
     dropped = found.filter("not kept").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    kept = docs.select(*COLUMNS).join(broadcast_if_small(dropped), "doc_id", "left_anti").select(*COLUMNS)
     repeated = materialise(found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
     if repeated.isEmpty():
         return kept
@@ -42,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the target weights take; a row without doc_id cannot be named and goes."""
     taken = op8_mixing.mix(docs, op8_mixing.domain_of_source(F.col("source")), **MIX).select("doc_id").distinct()
     kept = materialise(taken, "mixed-ids")
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(broadcast_if_small(kept), "doc_id", "left_semi").select(*COLUMNS)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
