@@ -37,7 +37,8 @@ CREDIT = Policy(
         _any("U-S1", NORMATIVE, "Notice to Home Loan Applicant", "Consumer Financial Protection Bureau", "THE REPORTING BUREAU CERTIFIES THAT"),
         _any("U-S2", DOMAIN, "FICO", "Credit Score", "Credit Report", "Credit Summary"),
         _groups("U-S3", DOMAIN, ("Trended Data",), ("Scheduled", "Actual")),
-        _pattern("U-S4", DOMAIN, r"(?=.*\btuc\b)(?=.*\bexp\b)(?=.*\beqx\b)"),
+        # anchored at the start: the same pages match, and a page without the words costs one pass, not one for each position
+        _pattern("U-S4", DOMAIN, r"\A(?=.*\btuc\b)(?=.*\bexp\b)(?=.*\beqx\b)"),
     ),
     vendors=(
         Vendor(
