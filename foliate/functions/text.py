@@ -6,6 +6,7 @@ import difflib
 import re
 import sys
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
 import pandas as pd
@@ -37,20 +38,37 @@ def normalize(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(folded, rf"{SPACE}+", " ")))
 
 
+#: Code points in one group of the class below.
+BLOCK = 1024
+
+
+def _spans(members: Iterable[int]) -> str:
+    """Ranges of sorted code points, as they stand in a Java character class."""
+    ranges: list[list[int]] = []
+    for c in members:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(f"\\x{{{a:x}}}" + (f"-\\x{{{b:x}}}" if b > a else "") for a, b in ranges)
+
+
 @lru_cache(maxsize=1)
 def compatibility_class() -> str:
-    """A Java character class of the code points that NFKC may change: those it maps elsewhere, and all combining marks."""
-    ranges: list[list[int]] = []
+    """A Java character class of the code points that NFKC may change: those it maps elsewhere, and all combining marks.
+
+    Java tries the ranges of a class one after another, so they are grouped by block behind one test of the block, and ASCII text
+    behind one test in all.
+    """
+    blocks: dict[int, list[int]] = {}
     for c in range(128, sys.maxunicode + 1):
         if 0xD800 <= c < 0xE000:
             continue
         ch = chr(c)
         if unicodedata.normalize("NFKC", ch) != ch or unicodedata.combining(ch) or 0x1160 <= c < 0x1200:
-            if ranges and ranges[-1][1] == c - 1:
-                ranges[-1][1] = c
-            else:
-                ranges.append([c, c])
-    return "[" + "".join(f"\\x{{{a:x}}}" + (f"-\\x{{{b:x}}}" if b > a else "") for a, b in ranges) + "]"
+            blocks.setdefault(c // BLOCK, []).append(c)
+    grouped = "".join(f"[\\x{{{n * BLOCK:x}}}-\\x{{{(n + 1) * BLOCK - 1:x}}}&&[{_spans(members)}]]" for n, members in blocks.items())
+    return f"[\\x{{80}}-\\x{{{sys.maxunicode:x}}}&&[{grouped}]]"
 
 
 @F.pandas_udf(T.StringType())
@@ -59,10 +77,9 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 
 def compatible(df: DataFrame, text: str) -> DataFrame:
-    """Apply NFKC to the rows of a text column that it can change; the others never leave the JVM."""
-    odd = F.coalesce(F.col(text).rlike(compatibility_class()), F.lit(False))
-    changed = df.filter(odd).withColumn(text, _nfkc(F.col(text)))
-    return df.filter(~odd).unionByName(changed)
+    """Apply NFKC to the rows of a text column that it can change, in one pass; the texts of the others never leave the JVM."""
+    odd = F.when(F.col(text).rlike(compatibility_class()), F.col(text))
+    return df.withColumn(text, F.coalesce(_nfkc(odd), F.col(text)))
 
 
 def with_views(df: DataFrame, text: str = "raw", nfkc: bool = True) -> DataFrame:

@@ -109,6 +109,13 @@ def test_normalisation_equals_python(spark):
         assert row.fulltext == " ".join(row.lines)
 
 
+def test_compatibility_class_holds_every_code_point_that_changes(spark):
+    every = "".join(chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000)
+    left = spark.createDataFrame([(every,)], "c string").select(F.regexp_replace("c", text.compatibility_class(), "").alias("c")).first().c
+    changed = lambda ch: unicodedata.normalize("NFKC", ch) != ch or unicodedata.combining(ch) or "\u1160" <= ch < "\u1200"
+    assert left == "".join(ch for ch in every if not changed(ch))
+
+
 def test_policies_declare_layers():
     assert [lint(p) for p in mortgage.POLICIES] == [[]] * 4
     assert sum(len(p.signals()) for p in mortgage.POLICIES) >= 30
