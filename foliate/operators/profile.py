@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,9 +42,19 @@ def repeated_lines(views: DataFrame, by: str, page: str) -> DataFrame:
     return line_frequency(views, by, page).filter("n_pages >= 2")
 
 
-def probe(views: DataFrame, phrases: DataFrame, keys: Sequence[str], name: str, phrase: str) -> DataFrame:
-    """keys, name: the phrases (a small table, normalised) that a page's full text contains."""
-    return views.select(*keys, "fulltext").join(F.broadcast(phrases.select(name, phrase)), F.contains("fulltext", F.col(phrase))).select(*keys, name)
+def probe(views: DataFrame, phrases: DataFrame, keys: Sequence[str], name: str, phrase: str, block_bytes: int = 16 << 20) -> DataFrame:
+    """keys, name: the phrases (normalised) that a page's full text contains.
+
+    Phrases are broadcast, and tried on all pages, in as many blocks as keep a block near ``block_bytes``.  Null phrases and
+    pages match nothing.
+    """
+    probes = phrases.select(name, phrase).filter(F.col(phrase).isNotNull())
+    size = probes.agg(F.sum(F.octet_length(phrase) + 64)).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    place = F.pmod(F.xxhash64(name, phrase), F.lit(blocks))
+    pages = views.select(*keys, "fulltext")
+    found = [pages.join(F.broadcast(probes.filter(place == b)), F.contains("fulltext", F.col(phrase))).select(*keys, name) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def contamination(found: DataFrame, types: DataFrame, keys: Sequence[str], name: str) -> DataFrame:

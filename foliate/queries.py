@@ -13,6 +13,7 @@ from foliate.plans.corpus_policies import CONTACT, LICENSED, NOISY, POLICIES
 from foliate.plans.policy import Matcher, Policy, Spec
 from foliate.sources import packages
 from foliate.sources import pages as page_source
+from foliate.sources.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,7 +41,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents")
+    return spread(read(spark, sf_dir, "documents"))
 
 
 def views(spark: SparkSession, sf_dir: str, nfkc: bool = False) -> DataFrame:

@@ -7,9 +7,20 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+SMALL_BYTES = 32 << 20
+
 _own: dict[str, str] = {}
 
 
+def spread(df: DataFrame, small: int = SMALL_BYTES) -> DataFrame:
+    """Deal a table of less than ``small`` bytes over all cores: it may be one row group, which one task would read and match.
+
+    Larger tables are read in splits of their own and are not shuffled.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < small else df
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a stage's result below spark.checkpoint.dir (a temporary folder only where that is unset) and read it back."""
     spark = df.sparkSession

@@ -14,7 +14,7 @@ from foliate.functions import text
 from foliate.operators import cards, classify, evaluate, grouping, imaging, ordering, profile, provider
 from foliate.plans import policies as mortgage
 from foliate.plans.policy import OrderRules, Policy, Signal, Spec, Subtype, Vendor, lint
-from foliate.sources import packages, pages, sinks
+from foliate.sources import packages, pages, sinks, tables
 from foliate.streaming.pages import classify_stream
 
 from .conftest import SF
@@ -269,6 +269,21 @@ def test_word_ratio(spark):
     assert [round(x.r, 4) for x in r] == [0.6667, 0.0]
 
 
+def test_probes_in_blocks(spark):
+    views = text.with_views(page_frame(spark, ["Big  title\nword0", "word1 word0", "", None]))
+    probes = spark.createDataFrame([(i, p) for i, p in enumerate(["big title", "title word0", "word0", "word1", "none", None])], "item int, phrase string")
+    want = [(0, 0), (0, 1), (0, 2), (1, 2), (1, 3)]
+    for size in (1 << 20, 100):
+        found = profile.probe(views, probes, ["page"], "item", "phrase", size)
+        assert sorted((r.page, r.item) for r in found.collect()) == want
+
+
+def test_spread_leaves_large_tables(spark):
+    rows = spark.range(1000, numPartitions=1)
+    assert tables.spread(rows, 1).rdd.getNumPartitions() == 1
+    assert tables.spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_stream_equals_batch(spark, tmp_path):
     page_frame(spark, ["big title", "word0", ""]).write.parquet(f"{tmp_path}/in")
     schema = "package string, page int, raw string"
