@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliate.functions.rows import each
 from foliate.functions.text import strip, with_views
 from foliate.plans.policy import Matcher, Policy, evaluate, grade, ids_of, subtype
 
@@ -27,8 +28,9 @@ def with_results(df: DataFrame, policies: Sequence[Policy], text: str = "raw", f
 def hits(df: DataFrame, policies: Sequence[Policy], keys: Sequence[str], text: str = "raw", **how) -> DataFrame:
     """The long table: one row a page, type and signal that was hit."""
     rows, _ = with_results(df, policies, text, **how)
-    each = F.array(*(F.struct(F.lit(p.type).alias("type"), F.col(f"r_{i}.hits").alias("hits")) for i, p in enumerate(policies)))
-    return rows.select(*keys, F.explode(each).alias("x")).select(*keys, "x.type", F.explode("x.hits").alias("h")).select(*keys, "type", "h.*")
+    by_type = F.array(*(F.struct(F.lit(p.type).alias("type"), F.col(f"r_{i}.hits").alias("hits")) for i, p in enumerate(policies)))
+    typed = each(rows, keys, by_type, "x").select(*keys, "x.type", "x.hits")
+    return each(typed, [*keys, "type"], "hits", "h").select(*keys, "type", "h.*")
 
 
 def scores(df: DataFrame, policies: Sequence[Policy], keys: Sequence[str], text: str = "raw", **how) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliate.functions.rows import each
 from foliate.functions.text import SPACE, strip, suspicious_ratio
 
 
@@ -28,7 +29,7 @@ def page_stats(pages: DataFrame, by: str, text: str, images: str | None = None)
 
 def line_frequency(views: DataFrame, by: str, page: str) -> DataFrame:
     """by, line, n_pages: on how many pages of a file each line stands."""
-    return views.select(by, page, F.explode(F.array_distinct("lines")).alias("line")).groupBy(by, "line").agg(F.count("*").alias("n_pages"))
+    return each(views, [by, page], F.array_distinct("lines"), "line").groupBy(by, "line").agg(F.count("*").alias("n_pages"))
 
 
 def headers_footers(views: DataFrame, by: str, page: str) -> DataFrame:
@@ -74,8 +75,8 @@ def hash_cascade(left: DataFrame, right: DataFrame, key: str, text: str) -> Data
 
 def pair_overlap(pages: DataFrame, page: str, items: str, within: str) -> DataFrame:
     """a, b, n_common: pages of one file with items in common, found through the items."""
-    each = pages.select(within, page, F.explode(F.array_distinct(items)).alias("item"))
-    a, b = each.select(within, F.col(page).alias("a"), "item"), each.select(within, F.col(page).alias("b"), "item")
+    apart = pages.select(within, page, F.explode(F.array_distinct(items)).alias("item"))
+    a, b = apart.select(within, F.col(page).alias("a"), "item"), apart.select(within, F.col(page).alias("b"), "item")
     return a.join(b, [within, "item"]).filter("a < b").groupBy(within, "a", "b").agg(F.count("*").alias("n_common"))
 
 
@@ -87,8 +88,8 @@ def word_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def tokens(views: DataFrame, keys: Sequence[str], pattern: str, n: int = 10) -> DataFrame:
     """token, n_pages of tokens of a shape that mix letters and digits."""
-    each = views.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all("fulltext", F.lit(pattern), F.lit(0)))).alias("token"))
-    return each.filter(F.col("token").rlike("[0-9]") & F.col("token").rlike("[a-z]")).groupBy("token").agg(F.count("*").alias("n_pages"))
+    found = each(views, keys, F.array_distinct(F.regexp_extract_all("fulltext", F.lit(pattern), F.lit(0))), "token")
+    return found.filter(F.col("token").rlike("[0-9]") & F.col("token").rlike("[a-z]")).groupBy("token").agg(F.count("*").alias("n_pages"))
 
 
 def classify_lines(lines: DataFrame, line: str, rules: Sequence[tuple[str, Column]], other: str) -> DataFrame:
@@ -101,6 +102,6 @@ def classify_lines(lines: DataFrame, line: str, rules: Sequence[tuple[str, Colum
 
 def marker_thirds(views: DataFrame, keys: Sequence[str], pattern: str) -> DataFrame:
     """part (top under 20 %, bottom over 80 %, middle) of the lines that match, counted."""
-    each = views.select(F.size("lines").alias("n"), F.posexplode("lines").alias("at", "line")).filter(F.col("line").rlike(pattern))
+    found = views.select(F.size("lines").alias("n"), F.posexplode("lines").alias("at", "line")).filter(F.col("line").rlike(pattern))
     place = F.col("at") / F.greatest(F.col("n") - 1, F.lit(1))
-    return each.withColumn("part", F.when(place < 0.2, "top").when(place > 0.8, "bottom").otherwise("middle")).groupBy("part").agg(F.count("*").alias("n_lines"))
+    return found.withColumn("part", F.when(place < 0.2, "top").when(place > 0.8, "bottom").otherwise("middle")).groupBy("part").agg(F.count("*").alias("n_lines"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliate.functions.rows import each
 from foliate.functions.text import normalize, normalize_phrase, with_views
 from foliate.operators import cards, classify, evaluate, grouping, imaging, ordering, profile, provider
 from foliate.plans.corpus_policies import CONTACT, LICENSED, NOISY, POLICIES
@@ -87,7 +88,7 @@ _LICENSE_SQL = ", ".join(f"'{normalize_phrase(x)}'" for x in LICENSE_LINES)
 @query(f"SELECT doc_id, line FROM (SELECT DISTINCT doc_id, unnest(lines) AS line FROM f) WHERE line IN ({_LICENSE_SQL})", VIEWS)
 def phrase_line_hits(spark, sf_dir):
     wanted = [normalize_phrase(x) for x in LICENSE_LINES]
-    return views(spark, sf_dir).select("doc_id", F.explode(F.array_intersect("lines", F.array(*map(F.lit, wanted)))).alias("line"))
+    return each(views(spark, sf_dir), ["doc_id"], F.array_intersect("lines", F.array(*map(F.lit, wanted))), "line")
 
 
 def _quote(x: str) -> str:
@@ -291,17 +292,17 @@ def _cards(spark, sf_dir):
 
 @query(r"""SELECT DISTINCT doc_id, name, value FROM (SELECT doc_id, 'card' AS name, unnest(regexp_extract_all(fulltext, '\b\d{16}\b')) AS value FROM f UNION ALL SELECT doc_id, 'hex', unnest(regexp_extract_all(fulltext, '\b[a-f0-9]{40}\b')) FROM f)""", VIEWS)
 def id_candidates(spark, sf_dir):
-    return _cards(spark, sf_dir).select("doc_id", F.explode("id_candidates").alias("name", "v")).select("doc_id", "name", F.explode("v").alias("value"))
+    return each(each(_cards(spark, sf_dir), ["doc_id"], "id_candidates", "name", "v"), ["doc_id", "name"], "v", "value")
 
 
 @query(r"SELECT DISTINCT doc_id, unnest(regexp_extract_all(fulltext, '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b')) AS value FROM f", VIEWS)
 def date_candidates(spark, sf_dir):
-    return _cards(spark, sf_dir).select("doc_id", F.explode("date_candidates").alias("value"))
+    return each(_cards(spark, sf_dir), ["doc_id"], "date_candidates", "value")
 
 
 @query(r"SELECT doc_id, CAST(regexp_extract(raw, 'version (\d+)\.(\d+)', 1) AS INTEGER) AS n, CAST(regexp_extract(raw, 'version (\d+)\.(\d+)', 2) AS INTEGER) AS y, raw FROM (SELECT doc_id, unnest(regexp_extract_all(fulltext, 'version \d+\.\d+')) AS raw FROM f)", VIEWS)
 def page_markers(spark, sf_dir):
-    return _cards(spark, sf_dir).select("doc_id", F.explode("page_marker_candidates").alias("m")).select("doc_id", "m.n", "m.y", "m.raw")
+    return each(_cards(spark, sf_dir), ["doc_id"], "page_marker_candidates", "m").select("doc_id", "m.n", "m.y", "m.raw")
 
 
 @query(r"SELECT doc_id, NOT (regexp_matches(fulltext, '\b\d{16}\b') OR regexp_matches(fulltext, '\b[a-f0-9]{40}\b') OR regexp_matches(fulltext, 'version \d+\.\d+')) AS weak FROM f", VIEWS)
