@@ -31,8 +31,8 @@ from .vector import FOLD, HashTable, U64, mix, slices, words
 
 PIECE_BYTES = 16
 CHUNK = 48
-PER_LANGUAGE = 1_000
-ROUNDS = 2
+PER_LANGUAGE = 2_000
+ROUNDS = 3
 SMOOTHING = 0.05
 CELLS = 1 << 17
 _BASE = U64(0x9E3779B97F4A7C15)
@@ -104,29 +104,35 @@ class Lattice:
 
     def expected(self, matrix: np.ndarray, weight: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected uses of each piece, by language, in rows that occur ``weight`` times."""
+        owner, lang = np.nonzero(weight)  # passes are made for the languages in which a row has a weight, mostly one
+        matrix, weight = matrix[owner], weight[owner, lang]
         n, width, k = len(matrix), matrix.shape[1], p.shape[1]
-        arcs = list(self.arcs(matrix))
-        alpha, beta = np.zeros((width + 1, n, k)), np.zeros((width + 1, n, k))
+        arcs = [[(size, rows, piece, p[piece, lang[rows]]) for size, rows, piece in found] for found in self.arcs(matrix)]
+        alpha, beta = np.zeros((width + 1, n)), np.zeros((width + 1, n))
+        log_a, log_b = np.zeros((width + 1, n)), np.zeros(n)  # true values are alpha * exp(log_a) and beta * exp(log_b)
         alpha[0], beta[width] = 1, 1
-        out = np.zeros_like(p)
-        scales = np.ones((width + 1, n, k))  # alpha[i] is the true value over the product of scales up to i
         for i, found in enumerate(arcs, 1):
-            for size, rows, piece in found:
-                link = alpha[i - size][rows] * p[piece]
-                for j in range(i - size + 1, i):
-                    link = link / scales[j][rows]
-                alpha[i][rows] += link
-            scales[i] = alpha[i]
-            alpha[i] = 1
+            log_a[i] = log_a[i - 1]
+            for size, rows, _, q in found:
+                alpha[i][rows] += alpha[i - size][rows] * q
+            if i % 16 == 0:
+                scale, near = alpha[i].copy(), slice(max(0, i - PIECE_BYTES), i + 1)
+                alpha[near] /= scale
+                log_a[near] += np.log(scale)
+        whole = np.log(alpha[width]) + log_a[width]
+        keys, uses = [np.zeros(0, np.int64)], [np.zeros(0)]
         for i in range(width, 0, -1):
-            for size, rows, piece in arcs[i - 1]:
-                link = p[piece] * beta[i][rows]
-                for j in range(i - size + 1, i + 1):
-                    link = link / scales[j][rows]
+            if i % 16 == 0 and i < width:
+                scale = beta[i].copy()
+                beta[max(0, i - PIECE_BYTES) : i + 1] /= scale
+                log_b += np.log(scale)
+            for size, rows, piece, q in arcs[i - 1]:
+                link = q * beta[i][rows]
                 beta[i - size][rows] += link
-                for c in range(k):
-                    out[:, c] += np.bincount(piece, weights=weight[rows, c] * link[:, c] * alpha[i - size][rows, c], minlength=len(out))
-        return out
+                part = np.exp((log_a[i - size][rows] + log_b[rows] - whole[rows]) / 2)  # in halves, or it could underflow
+                keys.append(piece.astype(np.int64) * k + lang[rows])
+                uses.append(weight[rows] * (link * part) * (alpha[i - size][rows] * part))
+        return np.bincount(np.concatenate(keys), weights=np.concatenate(uses), minlength=p.size).reshape(p.shape)
 
 
 class Chunks(NamedTuple):
@@ -221,7 +227,7 @@ def fit(rows: DataFrame, pieces: list[bytes], per_language: int = PER_LANGUAGE,
                 ends = np.cumsum([len(w) for w in raw])
                 chunks = _chunks(np.concatenate(([0], ends[:-1])), ends)
                 lang, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-                for part, matrix in _matrices(buf, chunks, width * 4):
+                for part, matrix in _matrices(buf, chunks, 4):
                     weight = np.zeros((len(part), width))
                     owner = chunks.owners[part]
                     weight[np.arange(len(part)), lang[owner]] = n[owner]

@@ -138,6 +138,26 @@ def test_expected_counts_by_enumeration():
     assert not got[:, 1].any()
 
 
+def test_expected_passes_only_over_the_languages_of_a_row(monkeypatch):
+    assert (op7_language.PER_LANGUAGE, op7_language.ROUNDS) == (2000, 3)
+    pieces = sorted({bytes([b]) for b in range(256)} | {b"ab", b"bc", b"abc", b"ca"})
+    p = np.random.default_rng(3).random((len(pieces), 3))
+    p /= p.sum(axis=0)
+    lattice, seen = op7_language.Lattice(pieces), []
+    monkeypatch.setattr(lattice, "arcs", lambda m, f=lattice.arcs: (seen.append(len(m)), f(m))[1])
+    matrix = np.frombuffer(b"abcab" * 16 + b"cabca" * 16, np.uint8).reshape(2, 80)
+    got = lattice.expected(matrix, np.array([[0, 2.0, 0], [0, 0, 5.0]]), p)
+    assert seen == [2] and not got[:, 0].any()
+    size = np.array([len(x) for x in pieces])
+    assert size @ got == pytest.approx([0, 160, 400])  # the pieces of a segmentation are as long as its word
+    for c, h in ((1, 2), (2, 5)):  # uses are the slope of the log likelihood by the log of a piece's probability
+        k, up, down = pieces.index(b"abc"), p.copy(), p.copy()
+        up[k] *= 1 + 1e-6
+        down[k] /= 1 + 1e-6
+        slope = (lattice.forward(matrix, up) - lattice.forward(matrix, down))[c - 1, c] / 2e-6
+        assert got[k, c] == pytest.approx(h * slope, rel=1e-4)
+
+
 def test_language_id_on_held_out_documents(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     model = op7_language.fit_documents(df, queries.PIECES)
