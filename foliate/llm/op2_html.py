@@ -29,7 +29,9 @@ from .store import bounded_batches
 WIDTH = 3
 SURGE = 86
 
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]{0,65536}+"|'[^']{0,65536}+'|[^>])*+)>""", re.S)
+MARKUP = re.compile(r"<(?:(!--)|([!?])|(/?)(?=[a-zA-Z]))")
+NAME_END = re.compile(r"[\s/>]")
+QUOTE_OR_END = re.compile(r"""["'>]""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 
@@ -62,6 +64,68 @@ def _is_junk(tag: str, named: set[str], attrs: dict[str, str], in_article: bool)
     return bool(named & JUNK) and not named & ARTICLE and tag != "article"
 
 
+class _Next:
+    """The next match of a pattern in a page, or its length; a search from inside the last gap is not made again."""
+
+    def __init__(self, pattern: re.Pattern[str], page: str) -> None:
+        self.pattern, self.page, self.start, self.found = pattern, page, 0, -1
+
+    def at(self, start: int) -> int:
+        if not self.start <= start <= self.found:
+            match = self.pattern.search(self.page, start)
+            self.start, self.found = start, match.start() if match else len(self.page)
+        return self.found
+
+
+class _Tags:
+    """Finds the markup of a page; a quoted attribute value of any length may hold ">", and a quote that is not closed is
+    a character like others.  Whatever the page, its characters are looked at a bounded number of times."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.name_end, self.first = _Next(NAME_END, page), _Next(QUOTE_OR_END, page)
+        self.missing: dict[str, int] = {}  # by text, where a search that found none began
+        self.dead: set[int] = set()  # opening quotes from which no end of a tag is reached
+
+    def _find(self, what: str, start: int) -> int:
+        if start >= self.missing.get(what, len(self.page) + 1):
+            return -1
+        if (found := self.page.find(what, start)) < 0:
+            self.missing[what] = start
+        return found
+
+    def _tag_end(self, start: int) -> int:
+        """Where the ">" of a tag stands, whose attributes begin at ``start``; -1 if it has none."""
+        page, path = self.page, []
+        at = self.first.at(start)
+        while at < len(page) and at not in self.dead:
+            if page[at] == ">":
+                return at
+            path.append(at)
+            close = self._find(page[at], at + 1)
+            found = QUOTE_OR_END.search(page, close + 1 if close >= 0 else at + 1)
+            at = found.start() if found else len(page)
+        self.dead.update(path)
+        return -1
+
+    def next(self, look: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, whether it closes, name in lower case, attributes) of markup; the name is empty if it is no tag."""
+        page = self.page
+        while found := MARKUP.search(page, look):
+            start, look = found.start(), found.start() + 1
+            if found[1]:
+                close = self._find("-->", found.end())
+                return start, close + 3 if close >= 0 else len(page), False, "", ""
+            if found[2]:
+                if (close := self._find(">", found.end())) >= 0:
+                    return start, close + 1, False, "", ""
+                continue
+            begin = self.name_end.at(found.end() + 1)
+            if (close := self._tag_end(begin)) >= 0:
+                return start, close + 1, bool(found[3]), page[found.end() : begin].lower(), page[begin:close]
+        return None
+
+
 class _Lines:
     """Collects the lines of a page: text, whether in a marked article, and characters of links."""
 
@@ -97,7 +161,7 @@ def page_lines(page: str) -> _Lines:
     out, stack = _Lines(), []  # of (tag, begins a skipped part, marks an article, is a link)
     opened: Counter[str] = Counter()
     skipped = articles = links = 0
-    at, end, lower = 0, len(page), None
+    at, end, lower, tags = 0, len(page), None, _Tags(page)
 
     def pop() -> None:
         nonlocal skipped, articles, links
@@ -108,21 +172,20 @@ def page_lines(page: str) -> _Lines:
             out.gap()
 
     while at < end:
-        found = MARKUP.search(page, at)
-        stop = found.start() if found else end
+        found = tags.next(at)
+        stop = found[0] if found else end
         if stop > at and not skipped:
             out.add(page[at:stop], links > 0)
         if not found:
             break
-        at = found.end()
-        tag = (found[2] or "").lower()
+        _, at, closes, tag, attributes = found
         if not tag:
             continue
         if tag not in INLINE and not skipped:
             out.end_line(articles > 0)
         elif tag in ("br", "td", "th") and not skipped:
             out.add(" ", False)
-        if found[1]:
+        if closes:
             if opened[tag]:
                 while True:
                     name = stack[-1][0]
@@ -139,10 +202,10 @@ def page_lines(page: str) -> _Lines:
                     break
                 if name not in INLINE:
                     break
-        attrs = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(found[3])} if found[3] else {}
+        attrs = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(attributes)} if attributes else {}
         named = _words(" ".join(v for k, v in attrs.items() if k in ("class", "id", "role")))
         junk = _is_junk(tag, named, attrs, articles > 0)
-        if tag in VOID or found[3].endswith("/") and tag not in ENDS_P:
+        if tag in VOID or attributes.endswith("/") and tag not in ENDS_P:
             continue
         if junk and not skipped:
             out.end_line(articles > 0)

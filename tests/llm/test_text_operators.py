@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -83,6 +84,23 @@ def test_marked_articles(around):
     assert op2_html.extract(around % ARTICLE) == TEXT
 
 
+@pytest.mark.parametrize("fill", ["A", "A>"])
+@pytest.mark.parametrize("quote", ['"', "'"])
+def test_attribute_values_of_any_length(quote, fill):
+    value = quote + "data:image/png;base64," + fill * 200_000 + quote
+    for tag in ("img src", "div data-json"):
+        page = f"<body><{tag}={value}><article class={quote}a{quote}>{ARTICLE}</article><p id={quote}z{quote}>tail</p>"
+        assert op2_html.extract(page) == TEXT
+
+
+@pytest.mark.parametrize("part", ["<p", "<a x='", '<a x="" ', "<a '> <b \"", "<!", "<?x", "<p <b/", "<a x='\">"])
+def test_broken_markup_takes_time_in_proportion(part):
+    tail = "'>'" if part == "<p <b/" else ""
+    began = time.process_time()
+    assert isinstance(op2_html.extract(part * 100_000 + tail), str)
+    assert time.process_time() - began < 20
+
+
 def test_unmarked_pages_by_surge_and_dive():
     words = "word " * 40
     page = f"<div><a>Home</a> <a>News</a></div><ul class='menu'><li>x</li></ul><div><h2>Title</h2><p>{words}</p><p>End.</p></div><div class='sidebar'><p>{words}</p></div><p>tail</p>"
