@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliate.functions.rows import each
-from foliate.functions.text import normalize, normalize_phrase, with_views
+from foliate.functions.text import compatible, normalize, normalize_phrase, with_views
 from foliate.operators import cards, classify, evaluate, grouping, imaging, ordering, profile, provider
 from foliate.plans.corpus_policies import CONTACT, LICENSED, NOISY, POLICIES
 from foliate.plans.policy import Matcher, Policy, Spec
@@ -45,9 +45,8 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(read(spark, sf_dir, "documents"))
 
 
-def views(spark: SparkSession, sf_dir: str, nfkc: bool = False) -> DataFrame:
-    """Text views of the documents; the corpus is NFKC-normal, so most queries leave that step out."""
-    return with_views(docs(spark, sf_dir), "text", nfkc=nfkc)
+def views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_views(docs(spark, sf_dir), "text")
 
 
 # --- text ---------------------------------------------------------------------------------------------------------------
@@ -55,12 +54,12 @@ def views(spark: SparkSession, sf_dir: str, nfkc: bool = False) -> DataFrame:
 
 @query(f"SELECT doc_id, {_NORM.format('text')} AS norm FROM documents")
 def normalize_pages(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", normalize(F.col("text")).alias("norm"))
+    return compatible(docs(spark, sf_dir), "text").select("doc_id", normalize(F.col("text")).alias("norm"))
 
 
 @query("SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, md5(fulltext) AS fulltext_md5 FROM f", VIEWS)
 def page_views(spark, sf_dir):
-    return views(spark, sf_dir, nfkc=True).select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.md5(F.col("fulltext").cast("binary")).alias("fulltext_md5"))
+    return views(spark, sf_dir).select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.md5(F.col("fulltext").cast("binary")).alias("fulltext_md5"))
 
 
 @query("""SELECT source, count(*) AS page_count, min(length(text)) AS min_length, max(length(text)) AS max_length, round(sum(length(text)) / count(*), 1) AS mean_length, median(length(text)) AS median_length,
@@ -73,7 +72,7 @@ def page_stats(spark, sf_dir):
 
 
 def _probes(spark, sf_dir):
-    return read(spark, sf_dir, "benchmark").select("item_id", normalize(F.col("text")).alias("phrase"))
+    return compatible(read(spark, sf_dir, "benchmark"), "text").select("item_id", normalize(F.col("text")).alias("phrase"))
 
 
 @query(f"SELECT doc_id, item_id FROM f JOIN (SELECT item_id, {_NORM.format('text')} AS phrase FROM benchmark) ON contains(fulltext, phrase)", VIEWS)
@@ -108,7 +107,7 @@ def spec_sql(s: Spec) -> str:
 
 def _spec_query(name: str, spec: Spec) -> None:
     def run(spark, sf_dir):
-        m = Matcher([Policy("ONE", supportive=(_signal(spec),))])
+        m = Matcher([Policy("ONE", supportive=(_signal(spec),))], fuzzy=True)
         return m.add(views(spark, sf_dir)).select("doc_id", m.holds(spec).alias("holds"))
 
     run.__name__ = name
@@ -174,15 +173,15 @@ verdicts AS (SELECT f.doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'DEFE
 
 
 def _hits(spark, sf_dir, policies=POLICIES):
-    return classify.hits(docs(spark, sf_dir), policies, ["doc_id"], "text", nfkc=False)
+    return classify.hits(docs(spark, sf_dir), policies, ["doc_id"], "text", fuzzy=True)
 
 
 def _scores(spark, sf_dir, policies=POLICIES):
-    return classify.scores(docs(spark, sf_dir), policies, ["doc_id"], "text", nfkc=False)
+    return classify.scores(docs(spark, sf_dir), policies, ["doc_id"], "text", fuzzy=True)
 
 
 def _verdicts(spark, sf_dir):
-    return classify.unified(docs(spark, sf_dir), POLICIES, ["doc_id"], "text", nfkc=False)
+    return classify.unified(docs(spark, sf_dir), POLICIES, ["doc_id"], "text", fuzzy=True)
 
 
 _HIT_COLUMNS = ["doc_id", "type", "signal_id", "kind", "layer", "vendor", "demoted_from", "identity_exempt"]
@@ -230,7 +229,7 @@ def grade_mix(spark, sf_dir):
 FROM scores s JOIN (SELECT doc_id, bool_or(grade = 'RULE_HIGH') AS hi, count(*) FILTER (grade IN ('RULE_HIGH', 'RULE_MEDIUM')) AS n FROM scores WHERE type <> 'LICENSED' GROUP BY doc_id) r USING (doc_id)
 WHERE s.type = 'LICENSED' AND trim(coalesce((SELECT text FROM documents d WHERE d.doc_id = s.doc_id), '')) <> ''""", SCORES)
 def rival_grades(spark, sf_dir):
-    found = classify.single(docs(spark, sf_dir), LICENSED, [CONTACT, NOISY], ["doc_id"], "text", nfkc=False)
+    found = classify.single(docs(spark, sf_dir), LICENSED, [CONTACT, NOISY], ["doc_id"], "text", fuzzy=True)
     return found.filter("rule_grade <> 'DEFER_VLM'").select("doc_id", "rule_grade", "grade", "type_conflict", F.size("rivals").cast("long").alias("n_rivals"))
 
 
@@ -247,7 +246,7 @@ def type_distribution(spark, sf_dir):
 def _subtype(spark, sf_dir, policy):
     from foliate.plans.policy import subtype
 
-    rows, m = classify.with_results(docs(spark, sf_dir), [policy], "text", nfkc=False)
+    rows, m = classify.with_results(docs(spark, sf_dir), [policy], "text", fuzzy=True)
     return rows.select("doc_id", subtype(m, policy, F.col("r_0")).alias("s")).select("doc_id", "s.subtype", F.col("s.conflict").alias("subtype_conflict"))
 
 
@@ -287,7 +286,7 @@ def folded_answers(spark, sf_dir):
 
 
 def _cards(spark, sf_dir):
-    return cards.build(docs(spark, sf_dir), CONTACT, ["doc_id"], "text", nfkc=False)
+    return cards.build(docs(spark, sf_dir), CONTACT, ["doc_id"], "text", fuzzy=True)
 
 
 @query(r"""SELECT DISTINCT doc_id, name, value FROM (SELECT doc_id, 'card' AS name, unnest(regexp_extract_all(fulltext, '\b\d{16}\b')) AS value FROM f UNION ALL SELECT doc_id, 'hex', unnest(regexp_extract_all(fulltext, '\b[a-f0-9]{40}\b')) FROM f)""", VIEWS)

@@ -1,7 +1,9 @@
 """Behaviour of the page engine on pages of our own."""
 
+import collections
 import difflib
 import json
+import re
 import unicodedata
 
 import pytest
@@ -81,6 +83,79 @@ def test_phrases_veto_patterns_of_the_same_spec(spark):
     assert grades(spark, p, ["florida - 2021 v. 1", "named"]) == ["NO_SIGNAL", "RULE_HIGH"]
 
 
+ODD_DOCUMENTS = [
+    "Licenced under the Apache Licence, Version 2.0.\nother words",  # misspelt
+    "Ｒｅｌｅａｓｅｄ under the ＭＩＴ License.",  # full width
+    "x\nReleased unde\u200ar the MIT Licensé.\ny",
+    "GNU General Public Licence\nversion 3.",
+    "first ﬁle\nLicensed under the Apache License, Versio\nn 2.0.",
+    "ｅｘａｍｐｌｅ．ｃｏｍ\ntoken  = 5 @ｍａｉｌ3 @mail4",
+    "examp1e.com\nworc is\n of the",
+    "###\n***", "＃＃＃ and ＄＄＄", "", None, "the und de",
+]
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("odd")
+    some = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(30)
+    odd = spark.createDataFrame([(-1 - k, t) for k, t in enumerate(ODD_DOCUMENTS)], "doc_id long, text string")
+    some.unionByName(odd, allowMissingColumns=True).write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def brute_views(raw):
+    lines = [text.normalize_phrase(x) for x in unicodedata.normalize("NFKC", raw or "").splitlines()]
+    return [x for x in lines if x], " ".join(x for x in lines if x)
+
+
+def brute_match(phrase, lines, full):
+    """Whether a phrase is a line, a part of the text, or near a line."""
+    p = text.normalize_phrase(phrase)
+    return p in lines or p in full or any(difflib.SequenceMatcher(None, x, p).ratio() >= 0.9 for x in lines)
+
+
+def brute_spec(s, lines, full):
+    has = lambda p: brute_match(p, lines, full)
+    fits = not any(map(has, s.absent)) and all(map(has, s.require_all)) and all(any(map(has, g)) for g in s.require_all_any)
+    if s.phrases:
+        return fits and sum(map(has, s.phrases)) >= s.least
+    if s.patterns and not (s.require_all or s.require_all_any):
+        return fits and any(re.search(p, full) for p in s.patterns)
+    return fits and bool(s.absent or s.require_all or s.require_all_any)
+
+
+def test_rule_queries_take_all_steps_of_the_matcher(spark, odd_tables):
+    pages = {r.doc_id: brute_views(r.text) for r in spark.read.parquet(f"{odd_tables}/documents.parquet").collect()}
+    want, grades = set(), {}
+    for d, (lines, full) in pages.items():
+        for p in queries.POLICIES:
+            holds = lambda s: brute_spec(s.spec, lines, full)  # noqa: B023, E731
+            if any(map(holds, p.exclusions)):
+                grades[d, p.type] = "EXCLUDED_ADJACENT"
+                continue
+            found = [(s.id, "decisive") for s in p.decisive if holds(s)] + [(s.id, "supportive") for s in p.supportive if holds(s)]
+            for v in p.vendors:
+                known = not p.needs_identity or brute_spec(v.identity, lines, full)
+                found += [(s.id, "decisive" if known or s.exempt else "supportive") for s in v.decisive if holds(s)]
+                found += [(s.id, "supportive") for s in v.supportive if holds(s)]
+            want |= {(d, p.type, *x) for x in found}
+            n = collections.Counter(kind for _, kind in set(found))
+            grades[d, p.type] = "RULE_HIGH" if n["decisive"] >= p.decisive_min else "RULE_MEDIUM" if n["supportive"] >= p.supportive_min else "DEFER_LLM" if n["supportive"] == 1 else "NO_SIGNAL"
+    run = lambda name: queries.QUERIES[name](spark, odd_tables).collect()
+    assert {(r.doc_id, r.type, r.signal_id, r.kind) for r in run("hits_long")} == want
+    assert {(r.doc_id, r.type): r.grade for r in run("policy_scores")} == grades
+    for r in run("unified_verdicts"):
+        mine = {g: [p.type for p in queries.POLICIES if grades[r.doc_id, p.type] == g] for g in ("RULE_HIGH", "RULE_MEDIUM")}
+        best = mine["RULE_HIGH"] or mine["RULE_MEDIUM"]
+        assert r.type == (best[0] if len(best) == 1 and pages[r.doc_id][1] else None)
+    assert {(-1, "LICENSED", "L-D1", "decisive"), (-2, "LICENSED", "L-D1", "decisive"), (-4, "LICENSED", "L-D2", "decisive"), (-6, "CONTACT", "M-D1", "decisive")} <= want
+    for r in run("spec_require_all"):
+        assert r.holds == (brute_match("token", *pages[r.doc_id]) and brute_match("example.com", *pages[r.doc_id]))
+    assert {r.doc_id: r.norm for r in run("normalize_pages")}[-2] == "released under the mit license."
+    assert len(run("weak_cards")) == len(pages)
+
+
 def test_fuzzy_matches(spark):
     p = Policy("Z", decisive=(Signal("D", Spec(("uniform residential loan",)), "domain"),), supportive=(Signal("A", Spec(absent=("uniform residential loan",)), "domain"),))
     assert grades(spark, p, ["Uniforn Residential Loan", "unrelated"], fuzzy=True) == ["RULE_HIGH", "DEFER_LLM"]
