@@ -6,7 +6,8 @@ longer records get an empty member behind them) is left to the writer's line sep
 
 ``read_warc`` reads ``.warc`` and ``.warc.gz`` files.  Where a member does not inflate, or a record's version line, length or
 digest is wrong, it looks for the next valid member or version line, goes on from there, and logs the bytes between as a
-quarantined gap (kind ``gap`` with offset, length and reason; records have kind ``record``).
+quarantined gap (kind ``gap`` with offset, length and reason; records have kind ``record``).  So it does inside the content of a
+member of several records, and in what inflates of a member before its damage or end.
 
 Payloads are the html in UTF-8, empty for null.  Of records with equal payloads of at least ``least`` bytes, the one with the
 smallest page_id is a response and the others revisit it; smaller ones are all responses.  A page without page_id is
@@ -94,8 +95,8 @@ def write_warc(rows: DataFrame, path: str, records_per_file: int = RECORDS_PER_F
     members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def _inflate(data: memoryview, start: int) -> tuple[bytes, int] | None:
-    """A member's content and the position after it; None if it does not inflate."""
+def _inflate(data: memoryview, start: int) -> tuple[bytes, int, bool]:
+    """A member's content, the position after it, and whether it is whole; if not, what comes before the damage."""
     z, at, out = zlib.decompressobj(31), start, []
     try:
         while at < len(data):
@@ -103,10 +104,25 @@ def _inflate(data: memoryview, start: int) -> tuple[bytes, int] | None:
             out.append(z.decompress(piece))
             at += len(piece)
             if z.eof:
-                return b"".join(out), at - len(z.unused_data)
-    except zlib.error:
-        pass
-    return None
+                return b"".join(out), at - len(z.unused_data), True
+    except zlib.error:  # once more up to the damaged piece, and through that by single bytes
+        z, out = zlib.decompressobj(31), []
+        for k in range(start, at, 1 << 16):
+            out.append(z.decompress(data[k : k + (1 << 16)]))
+        try:
+            while True:
+                out.append(z.decompress(data[at : at + 1]))
+                at += 1
+        except zlib.error:
+            pass
+    return b"".join(out), at, False
+
+
+def _reached(data: memoryview, start: int, stop: int, length: int) -> int:
+    """The position up to which a member is read for the first ``length`` bytes of its content."""
+    z = zlib.decompressobj(31)
+    z.decompress(data[start:stop], length)
+    return stop - len(z.unconsumed_tail)
 
 
 def _parse(data: bytes, start: int) -> tuple[dict[str, str], bytes, int] | str:
@@ -132,8 +148,26 @@ def _parse(data: bytes, start: int) -> tuple[dict[str, str], bytes, int] | str:
     return headers, block, after + len(END)
 
 
+def _records(data: bytes) -> tuple[list[tuple[dict[str, str], bytes]], int, str]:
+    """Headers and block of all valid records of a member's content, the position after the last, and why others are not valid."""
+    pos, found, end, why = 0, [], 0, ""
+    while 0 <= pos < len(data):
+        got = _parse(data, pos)
+        if isinstance(got, str):
+            why = why or got
+            pos = data.find(VERSION, pos + 1)
+        else:
+            found.append(got[:2])
+            pos = end = got[2]
+    return found, end, why
+
+
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, object, object]]:
-    """("record", offset, length, headers, block) and ("gap", offset, length, reason, None), in the order of the bytes."""
+    """("record", offset, length, headers, block) and ("gap", offset, length, reason, None), in the order of the bytes.
+
+    Records of a gzip member have the place of the member, or of the part of it that they were read from.  If others of a whole member
+    are not valid, a gap with the member's place follows them.
+    """
     at, bad, why, view = 0, None, "", memoryview(data)
 
     def gap(to: int):
@@ -142,41 +176,36 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, object, object]]:
         return ("gap", found, to - found, why, None)
 
     while at < len(data):
-        records, after, said = [], at, ""
+        records, after, said, whole = [], at, "", True
         if data.startswith(GZIP, at):
-            if (member := _inflate(view, at)) is None:
+            inner, after, whole = _inflate(view, at)
+            records, end, said = _records(inner)
+            if not whole:
                 said = "the member does not inflate"
-            else:
-                inner, after = member
-                pos = 0
-                while pos < len(inner):
-                    got = _parse(inner, pos)
-                    if isinstance(got, str):
-                        said = got
-                        break
-                    records.append(("record", at, after - at, got[0], got[1]))
-                    pos = got[2]
+                after = _reached(view, at, after, end) if records else at
         else:
             got = _parse(data, at)
             if isinstance(got, str):
-                said = got
+                said, whole = got, False
             else:
-                after = got[2]
-                records.append(("record", at, after - at, got[0], got[1]))
+                records, after = [got[:2]], got[2]
+        if bad is not None and (records or not said):
+            yield gap(at)
+        for headers, block in records:
+            yield "record", at, after - at, headers, block
         if not said:
-            if bad is not None:
-                yield gap(at)
-            yield from records
             at = after
-            continue
-        if records:  # a member with valid records before the damage
-            if bad is not None:
+        elif whole:  # a member that inflates, not all of it records
+            if bad is None:
+                bad, why = at, said
+            at = after
+            if records:
                 yield gap(at)
-            yield from records
-        if bad is None:
-            bad, why = at, said
-        following = [x for x in (data.find(GZIP, at + 1), data.find(VERSION, at + 1)) if x >= 0]
-        at = min(following, default=len(data))
+        else:
+            if bad is None:
+                bad, why = max(at, after), said
+            following = [x for x in (data.find(GZIP, max(at + 1, after)), data.find(VERSION, max(at + 1, after))) if x >= 0]
+            at = min(following, default=len(data))
     if bad is not None:
         yield gap(len(data))
 

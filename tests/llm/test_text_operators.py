@@ -156,6 +156,37 @@ def test_salvage_goes_on_behind_damage(packed):
     assert sum(x[2] for x in found) == len(cut)
 
 
+def salvaged(data):
+    found = list(op3_warc.salvage(data))
+    return [int(x[3]["warc-record-id"][10:-1]) for x in found if x[0] == "record"], [x[1:3] for x in found if x[0] == "gap"]
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_salvage_inside_members_of_several_records(level):
+    many = records(9)
+    many[6] = many[6].replace(b"payload", b"damaged")  # its digest differs
+    many[2] = many[2].replace(b"Content-Length", b"Content-Size")
+    first, second = op3_warc.gzip_member(b"".join(many[:4]), level), op3_warc.gzip_member(b"".join(many[4:]), level)
+    assert salvaged(first + second) == ([0, 1, 3, 4, 5, 7, 8], [(0, len(first)), (len(first), len(second))])
+    assert salvaged(op3_warc.gzip_member(b"".join(records(3)), level) + first)[0] == [0, 1, 2, 0, 1, 3]
+
+
+@pytest.mark.parametrize("level", [0, 6])
+@pytest.mark.parametrize("size", [1000, 200_000])
+def test_salvage_before_damage_in_a_member(level, size):
+    noise = random.Random(4)
+    many = [op3_warc.build_record(k, None, noise.randbytes(size), "00", None) for k in range(8)]
+    first, second = op3_warc.gzip_member(b"".join(many[:6]), level), op3_warc.gzip_member(b"".join(many[6:]), level)
+    ids, gaps = salvaged(first[: int(len(first) * 0.6)])  # cut in the fourth record
+    assert ids == [0, 1, 2] and len(gaps) == 1 and sum(gaps[0]) == int(len(first) * 0.6)
+    broken = bytearray(first)
+    broken[int(len(first) * 0.6)] ^= 0x55
+    broken[-12:] = bytes(12)  # the check value too: the member does not inflate
+    ids, gaps = salvaged(bytes(broken) + second)
+    assert ids == sorted(set(ids)) and {0, 1, 2, 6, 7} <= set(ids) and 3 not in ids
+    assert gaps and sum(gaps[-1]) == len(first)
+
+
 def test_salvage_of_rubbish():
     assert list(op3_warc.salvage(b"")) == []
     assert [x[:3] for x in op3_warc.salvage(b"no archive")] == [("gap", 0, 10)]
