@@ -2,16 +2,19 @@
 
 A fixed public vocabulary of byte strings (its pieces and all single bytes) has a probability in each language.  The likelihood of
 a word is the sum over all its segmentations into pieces, by a forward pass; a text's is the product over its words.  Words are
-``[^\\x20\\x09-\\x0D]+`` with A-Z lowered, behind one space; words of over ``CHUNK`` bytes are scored in runs of that size.
+``[^\\x20\\x09-\\x0D]+`` with A-Z lowered, behind one space, and whole whatever their length: a ring of as many columns as the longest
+piece has bytes is rescaled on its way.
 
 Training starts from equal probabilities and repeats expectation (expected piece counts by forward and backward passes over the
 distinct words, in Spark) and maximisation (their smoothed shares).  What the driver gathers is vocabulary times languages.
 The classifier is fitted on at most about ``per_language`` documents of each language, a documented bound, chosen by a hash of the
-doc_id from the rows that may be learned from; their whole texts count.
+doc_id from the rows that may be learned from; their whole texts count.  Languages are the ``max_languages`` labels with the most
+documents (ties by name), so that labels in error cannot make the model grow without end.
 
 A text that is null or has no letter is ``und`` with score 0; so is every text if nothing can be learned.  Ties go to the first
 language by name.  Rows without lang or doc_id are not learned from; a row without doc_id is not held out.  Repeated rows
-are repeated training data and repeated results; extra columns are ignored.
+are repeated training data and repeated results.  ``predict`` keeps extra columns, except that ``lang_pred`` and ``score`` replace
+columns of these names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,20 +30,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import bounded_batches, discard, materialise
-from .vector import FOLD, HashTable, U64, mix, slices, words
+from .vector import FOLD, buffers, gather, mix, slices, words
 
-PIECE_BYTES = 16
-CHUNK = 48
 PER_LANGUAGE = 2_000
 ROUNDS = 3
+MAX_LANGUAGES = 256
 SMOOTHING = 0.05
-CELLS = 1 << 17
-_BASE = U64(0x9E3779B97F4A7C15)
-_VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Bytes of words whose pieces are found at a time; a longer word is a group of its own.
+GROUP_BYTES = 1 << 18
+#: Numbers in the ring of columns of a forward pass; more words are passed one group after another.
+RING = 1 << 20
+RESCALE = 8
+#: Distinct words whose likelihoods a worker remembers before it starts afresh.
+REMEMBERED = 400_000
 
 
 def read_vocabulary(path: str) -> list[bytes]:
-    """Byte strings of a sentencepiece model of at most ``PIECE_BYTES`` bytes, and all single bytes; word starts have a space."""
+    """Byte strings of a sentencepiece model and all single bytes; word starts have a space."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -48,125 +54,224 @@ def read_vocabulary(path: str) -> list[bytes]:
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)):
             piece = model.id_to_piece(i).replace("▁", " ").encode().translate(bytes(FOLD))
-            if len(piece) <= PIECE_BYTES and b" " not in piece[1:]:
+            if b" " not in piece[1:]:
                 pieces.add(piece)
     return sorted(pieces)
 
 
+class Arcs(NamedTuple):
+    """Pieces found in words, by end and then by size: the row (word), the position behind the piece, its size and number."""
+
+    row: np.ndarray
+    end: np.ndarray
+    size: np.ndarray
+    piece: np.ndarray
+
+    def runs(self) -> tuple[list[int], list[int], list[int]]:
+        """(edges, ends, sizes) of the runs of one end and size; a run has each row once."""
+        if not len(self.row):
+            return [0], [], []
+        new = np.flatnonzero((np.diff(self.end) != 0) | (np.diff(self.size) != 0)) + 1
+        first = np.concatenate(([0], new))
+        return [*first.tolist(), len(self.row)], self.end[first].tolist(), self.size[first].tolist()
+
+
 class Lattice:
-    """Finds pieces inside padded words."""
+    """Finds pieces inside words by a trie, whose children share one array: a child of ``s`` by byte ``b`` is at ``base[s] + b``."""
 
     def __init__(self, pieces: list[bytes]):
         self.pieces = pieces
-        self.sizes = sorted({len(p) for p in pieces})
-        self.powers = np.full(PIECE_BYTES + 1, _BASE)
-        self.powers[0] = 1
-        self.powers = np.cumprod(self.powers)
-        keys = np.array([self._hash(p) for p in pieces], np.uint64)
-        self.table = HashTable(keys, np.arange(len(pieces), dtype=np.int32))
-
-    def _hash(self, piece: bytes) -> int:
-        h = 0
-        for b in piece:
-            h = (h * int(_BASE) + int(_VALUES[b])) % (1 << 64)
-        return int(mix(np.array([(h ^ len(piece))], np.uint64))[0])
-
-    def arcs(self, matrix: np.ndarray) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
-        """For each end position from 1 on: (length, rows, pieces) of the pieces that end there."""
-        sums = np.zeros((len(matrix), matrix.shape[1] + 1), np.uint64)
-        for i in range(matrix.shape[1]):
-            sums[:, i + 1] = sums[:, i] * _BASE + _VALUES[matrix[:, i]]
-        for i in range(1, matrix.shape[1] + 1):
-            found = []
-            for size in self.sizes:
-                if size > i:
+        self.longest = max(map(len, pieces))
+        children: list[dict[int, int]] = [{}]
+        number = [-1]
+        for k, piece in enumerate(pieces):
+            at = 0
+            for byte in piece:
+                if byte not in children[at]:
+                    children[at][byte] = len(children)
+                    children.append({})
+                    number.append(-1)
+                at = children[at][byte]
+            number[at] = k
+        self._place(children, number)
+
+    def _place(self, children: list[dict[int, int]], number: list[int]) -> None:
+        """Give each node, those with most children first, the least base at which the places of its children are free."""
+        room = len(children) + 1024
+        used = bytearray(room)
+        place, base = [0] * len(children), [0] * len(children)
+        used[0], low, tries = 1, 1, 0
+        for node in sorted((n for n in range(len(children)) if children[n]), key=lambda n: -len(children[n])):
+            span = sorted(children[node])
+            least, rest = span[0], [b - span[0] for b in span[1:]]
+            at = low if len(span) == 1 else max(low, tries)
+            while True:
+                at = used.find(0, at)
+                if at < 0 or at + 256 > room:
+                    used += bytes(room)
+                    room = len(used)
+                    at = max(at, low) if at >= 0 else used.find(0, low)
+                    continue
+                if not any(used[at + b] for b in rest):
                     break
-                piece = self.table.get(mix((sums[:, i] - sums[:, i - size] * self.powers[size]) ^ U64(size)))
-                rows = np.flatnonzero(piece >= 0)
-                if len(rows):
-                    found.append((size, rows, piece[rows]))
-            yield found
-
-    def forward(self, matrix: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """log of the summed probability of all segmentations, by row and language; rows are all as wide as the matrix."""
-        n, width, k = len(matrix), matrix.shape[1], p.shape[1]
-        alpha, log_scale = np.zeros((width + 1, n, k)), np.zeros((n, k))
+                at += 1
+            base[node] = at - least
+            for b in span:
+                used[base[node] + b] = 1
+                place[children[node][b]] = base[node] + b
+            low = max(used.find(0, low), low)
+            tries = max(0, at - 512) if len(span) > 1 else tries
+        self.base = np.zeros(room + 256, np.int32)
+        self.owner = np.full(room + 256, -1, np.int32)
+        self.number = np.full(room + 256, -1, np.int32)
+        for node, kids in enumerate(children):
+            self.base[place[node]] = base[node] + 256  # never negative
+            self.number[place[node]] = number[node]
+            for kid in kids.values():
+                self.owner[place[kid]] = place[node]
+
+    def arcs(self, buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Arcs:
+        """All pieces in the words of ``buf``, each as it stands."""
+        total = int(lengths.sum())
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        place = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        at = np.repeat(starts, lengths) + place
+        left = np.repeat(lengths, lengths) - place  # bytes from here to the end of the word
+        state = np.zeros(total, np.int32)
+        found = []
+        for size in range(1, self.longest + 1):
+            child = self.base[state] + buf[at + (size - 1)] - 256
+            ok = self.owner[np.maximum(child, 0)] == state
+            ok &= child > 0
+            if not ok.all():
+                row, place, at, left, child = row[ok], place[ok], at[ok], left[ok], child[ok]
+            state = child
+            number = self.number[state]
+            hit = np.flatnonzero(number >= 0)
+            if len(hit):
+                found.append((row[hit], place[hit] + size, np.full(len(hit), size), number[hit]))
+            more = left > size
+            row, place, at, left, state = row[more], place[more], at[more], left[more], state[more]
+            if not len(row):
+                break
+        if not found:
+            none = np.zeros(0, np.int64)
+            return Arcs(none, none, none, none)
+        row, end, size, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(end, kind="stable")  # sizes ascend already
+        return Arcs(row[order], end[order], size[order], piece[order])
+
+    def forward(self, buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """log of the summed probability of all segmentations, by word and language.
+
+        Words are passed from the longest to the shortest, so those that go on are the first rows; a ring holds the columns that
+        the longest piece can reach.
+        """
+        n, k, ring = len(lengths), p.shape[1], self.longest + 1
+        order = np.argsort(-lengths, kind="stable")
+        sizes = lengths[order]
+        arcs = self.arcs(buf, starts[order], sizes)
+        edges, ends, steps = arcs.runs()
+        alpha, log_scale, out = np.zeros((ring, n, k)), np.zeros((n, k)), np.zeros((n, k))
         alpha[0] = 1
-        for i, found in enumerate(self.arcs(matrix), 1):
-            at = alpha[i]
-            for size, rows, piece in found:
-                at[rows] += alpha[i - size][rows] * p[piece]
-            if i % 16 == 0 and i < width:
-                scale = at.copy()
-                alpha[max(0, i - PIECE_BYTES) : i + 1] /= scale
-                log_scale += np.log(scale)
-        return np.log(alpha[width]) + log_scale
-
-    def expected(self, matrix: np.ndarray, weight: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece, by language, in rows that occur ``weight`` times."""
-        owner, lang = np.nonzero(weight)  # passes are made for the languages in which a row has a weight, mostly one
-        matrix, weight = matrix[owner], weight[owner, lang]
-        n, width, k = len(matrix), matrix.shape[1], p.shape[1]
-        arcs = [[(size, rows, piece, p[piece, lang[rows]]) for size, rows, piece in found] for found in self.arcs(matrix)]
+        at_run = 0
+        longest = int(sizes[0]) if n else 0
+        live_at = np.searchsorted(-sizes, -np.arange(longest + 2), side="right")  # words of at least that many bytes
+        for i in range(1, longest + 1):
+            live, column = int(live_at[i]), i % ring
+            now = alpha[column]
+            now[:live] = 0
+            while at_run < len(ends) and ends[at_run] == i:
+                a, b = edges[at_run], edges[at_run + 1]
+                rows = arcs.row[a:b]
+                now[rows] += alpha[(i - steps[at_run]) % ring][rows] * p[arcs.piece[a:b]]
+                at_run += 1
+            stay = int(live_at[i + 1])
+            if stay < live:
+                out[stay:live] = np.log(now[stay:live]) + log_scale[stay:live]
+            if i % RESCALE == 0 and stay:
+                scale = now[:stay].copy()
+                alpha[:, :stay] /= scale
+                log_scale[:stay] += np.log(scale)
+        back = np.empty((n, k))
+        back[order] = out
+        return back
+
+    def expected(self, buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lang: np.ndarray, weight: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece, by language, in words of a language that occur ``weight`` times."""
+        n, width = len(lengths), int(lengths.max())
+        arcs = self.arcs(buf, starts, lengths)
+        edges, ends, steps = arcs.runs()
+        q = p[arcs.piece, lang[arcs.row]]
+        every = np.arange(n)
         alpha, beta = np.zeros((width + 1, n)), np.zeros((width + 1, n))
-        log_a, log_b = np.zeros((width + 1, n)), np.zeros(n)  # true values are alpha * exp(log_a) and beta * exp(log_b)
-        alpha[0], beta[width] = 1, 1
-        for i, found in enumerate(arcs, 1):
+        log_a, log_b = np.zeros((width + 1, n)), np.zeros((width + 1, n))  # true values are alpha * exp(log_a) and beta * exp(log_b)
+        alpha[0] = 1
+        run = 0
+        for i in range(1, width + 1):
             log_a[i] = log_a[i - 1]
-            for size, rows, _, q in found:
-                alpha[i][rows] += alpha[i - size][rows] * q
-            if i % 16 == 0:
-                scale, near = alpha[i].copy(), slice(max(0, i - PIECE_BYTES), i + 1)
+            while run < len(ends) and ends[run] == i:
+                a, b = edges[run], edges[run + 1]
+                rows = arcs.row[a:b]
+                before = i - steps[run]
+                alpha[i][rows] += alpha[before][rows] * q[a:b]
+                run += 1
+            if i % RESCALE == 0:
+                scale, near = np.where(alpha[i] > 0, alpha[i], 1.0), slice(max(0, i - self.longest), i + 1)
                 alpha[near] /= scale
                 log_a[near] += np.log(scale)
-        whole = np.log(alpha[width]) + log_a[width]
-        keys, uses = [np.zeros(0, np.int64)], [np.zeros(0)]
+        whole = np.log(alpha[lengths, every]) + log_a[lengths, every]
+        beta[lengths, every] = 1
+        run = len(ends) - 1
         for i in range(width, 0, -1):
-            if i % 16 == 0 and i < width:
-                scale = beta[i].copy()
-                beta[max(0, i - PIECE_BYTES) : i + 1] /= scale
-                log_b += np.log(scale)
-            for size, rows, piece, q in arcs[i - 1]:
-                link = q * beta[i][rows]
-                beta[i - size][rows] += link
-                part = np.exp((log_a[i - size][rows] + log_b[rows] - whole[rows]) / 2)  # in halves, or it could underflow
-                keys.append(piece.astype(np.int64) * k + lang[rows])
-                uses.append(weight[rows] * (link * part) * (alpha[i - size][rows] * part))
-        return np.bincount(np.concatenate(keys), weights=np.concatenate(uses), minlength=p.size).reshape(p.shape)
-
-
-class Chunks(NamedTuple):
-    """Runs of bytes to score: where each begins, its length, whether a space stands before it, and the word it is from."""
-
+            if i < width:
+                log_b[i] = log_b[i + 1]
+            if i % RESCALE == 0:
+                scale, near = np.where(beta[i] > 0, beta[i], 1.0), slice(max(0, i - self.longest), i + 1)
+                beta[near] /= scale
+                log_b[i] += np.log(scale)
+            while run >= 0 and ends[run] == i:
+                a, b = edges[run], edges[run + 1]
+                rows = arcs.row[a:b]
+                beta[i - steps[run]][rows] += beta[i][rows] * q[a:b]
+                run -= 1
+        row, end, start = arcs.row, arcs.end, arcs.end - arcs.size
+        with np.errstate(divide="ignore"):
+            link = np.log(alpha[start, row]) + log_a[start, row] + np.log(q) + np.log(beta[end, row]) + log_b[end, row] - whole[row]
+        keys = arcs.piece.astype(np.int64) * p.shape[1] + lang[row]
+        return np.bincount(keys, weights=weight[row] * np.exp(link), minlength=p.size).reshape(p.shape)
+
+
+class Padded(NamedTuple):
+    """Words in one array of bytes, in lower case, each with a space before it."""
+
+    buf: np.ndarray
     starts: np.ndarray
     lengths: np.ndarray
-    heads: np.ndarray
-    owners: np.ndarray
-
-
-def _chunks(starts: np.ndarray, ends: np.ndarray) -> Chunks:
-    parts = -(-(ends - starts) // CHUNK)
-    owners = np.repeat(np.arange(len(starts)), parts)
-    place = np.arange(len(owners)) - np.repeat(np.cumsum(parts) - parts, parts)
-    begin = starts[owners] + place * CHUNK
-    return Chunks(begin, np.minimum(ends[owners] - begin, CHUNK), place == 0, owners)
-
-
-def _matrices(buf: np.ndarray, chunks: Chunks, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, padded-free matrix) by width, with few cells at a time."""
-    width = chunks.lengths + chunks.heads
-    order = np.argsort(width, kind="stable")
-    for rows in np.split(order, np.flatnonzero(np.diff(width[order])) + 1):
-        if len(rows):
-            w = int(width[rows[0]])
-            step = max(1, CELLS * 4 // (max(k, 1) * (w + 1)))
-            for at in range(0, len(rows), step):
-                part = rows[at : at + step]
-                head = chunks.heads[part]
-                index = chunks.starts[part][:, None] + np.arange(w) - head[:, None]
-                matrix = FOLD[buf[np.maximum(index, 0)]]
-                matrix[head, 0] = 32
-                yield part, matrix
+
+    def groups(self, ring: int) -> Iterator[np.ndarray]:
+        """Runs of words of like lengths, of a bounded size."""
+        order = np.argsort(self.lengths, kind="stable")
+        sums, most = np.cumsum(self.lengths[order]), max(1, RING // ring)
+        at = 0
+        while at < len(order):
+            before = int(sums[at - 1]) if at else 0
+            stop = int(np.searchsorted(sums, before + GROUP_BYTES, side="right"))
+            stop = min(max(stop, at + 1), at + most, len(order))
+            while stop > at + 1 and (stop - at) * int(self.lengths[order[stop - 1]]) > 2 * GROUP_BYTES:  # a long word behind short ones
+                stop = at + (stop - at) // 2
+            yield order[at:stop]
+            at = stop
+
+
+def padded(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Padded:
+    """Words at the given places of ``buf``."""
+    lengths = ends - starts + 1
+    first = np.cumsum(lengths) - lengths
+    out, inside = np.empty(int(lengths.sum()), np.uint8), np.ones(int(lengths.sum()), bool)
+    inside[first] = False
+    out[first], out[inside] = 32, FOLD[gather(buf, starts, ends - starts)]
+    return Padded(out, first, lengths)
 
 
 class LanguageModel(NamedTuple):
@@ -185,19 +290,18 @@ def _lattice(pieces: list[bytes]) -> Lattice:
     return _lattices[key]
 
 
-def fit(rows: DataFrame, pieces: list[bytes], per_language: int = PER_LANGUAGE, rounds: int = ROUNDS) -> LanguageModel:
+def fit(rows: DataFrame, pieces: list[bytes], per_language: int = PER_LANGUAGE, rounds: int = ROUNDS, max_languages: int = MAX_LANGUAGES) -> LanguageModel:
     """Learn from rows (doc_id, text, lang), none of them null."""
     spark = rows.sparkSession
     bounded_batches(spark)
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_languages).collect()
+    sizes = {r["lang"]: r["n"] for r in most}
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], pieces, np.zeros((len(pieces), 0)))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    number = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")) - 1
+    share = F.element_at(F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / sizes[lang])))), F.col("lang"))
+    number = F.element_at(F.create_map(*(F.lit(x) for k, lang in enumerate(languages) for x in (lang, k))), F.col("lang"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,16 +326,11 @@ def fit(rows: DataFrame, pieces: list[bytes], per_language: int = PER_LANGUAGE,
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                raw = batch.column(0).to_pylist()
-                buf = np.frombuffer(b"".join(raw), np.uint8)
-                ends = np.cumsum([len(w) for w in raw])
-                chunks = _chunks(np.concatenate(([0], ends[:-1])), ends)
-                lang, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-                for part, matrix in _matrices(buf, chunks, 4):
-                    weight = np.zeros((len(part), width))
-                    owner = chunks.owners[part]
-                    weight[np.arange(len(part)), lang[owner]] = n[owner]
-                    total += lattice.expected(matrix, weight, model.value)
+                buf, edges = buffers(batch.column(0))
+                words_of = padded(buf, edges[:-1], edges[1:])
+                lang, n = batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(float)
+                for part in words_of.groups(1):
+                    total += lattice.expected(words_of.buf, words_of.starts[part], words_of.lengths[part], lang[part], n[part], model.value)
             piece, language = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int64()), pa.array(language, pa.int64()), pa.array(total[piece, language])], names=["piece", "lang", "uses"])
 
@@ -243,6 +342,42 @@ def fit(rows: DataFrame, pieces: list[bytes], per_language: int = PER_LANGUAGE,
     return LanguageModel(languages, pieces, p)
 
 
+def likelihoods(lattice: Lattice, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """log likelihoods by language of words at the given places of ``buf``."""
+    words_of, out = padded(buf, starts, ends), np.zeros((len(starts), p.shape[1]))
+    for part in words_of.groups((lattice.longest + 1) * p.shape[1]):
+        out[part] = lattice.forward(words_of.buf, words_of.starts[part], words_of.lengths[part], p)
+    return out
+
+
+class Remembered:
+    """Likelihoods of the words that a task has met, by hash; it starts afresh when there are too many."""
+
+    def __init__(self, width: int):
+        self.width = width
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.values = np.zeros(0, np.uint64), np.zeros((0, self.width))
+
+    def get(self, hashes: np.ndarray, of_new) -> np.ndarray:
+        """Values of sorted distinct hashes; ``of_new`` gives those of the places that are not known."""
+        out = np.empty((len(hashes), self.width))
+        at = np.searchsorted(self.hashes, hashes)
+        known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        out[known] = self.values[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            out[new] = of_new(new)
+            if len(self.hashes) + len(new) > REMEMBERED:
+                self.forget()
+            if len(new) <= REMEMBERED:
+                joined = np.concatenate((self.hashes, hashes[new]))
+                order = np.argsort(joined, kind="stable")
+                self.hashes, self.values = joined[order], np.concatenate((self.values, out[new]))[order]
+        return out
+
+
 def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """Add lang_pred string and score double (posterior of the language under equal priors) to every row."""
     spark: SparkSession = df.sparkSession
@@ -256,6 +391,7 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, pieces, p = shared.value
         lattice = _lattice(pieces)
+        known_words = Remembered(len(languages))
         for batch in batches:
             for part in slices(batch, text):
                 column = part.column(at)
@@ -263,11 +399,8 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
                 found = words(column)
                 total = np.zeros((part.num_rows, max(len(languages), 1)))
                 if languages and len(found.starts):
-                    _, first, back = np.unique(found.hashes, return_index=True, return_inverse=True)
-                    chunks = _chunks(found.starts[first], found.ends[first])
-                    of_word = np.zeros((len(first), len(languages)))
-                    for rows, matrix in _matrices(found.buf, chunks, len(languages)):
-                        np.add.at(of_word, chunks.owners[rows], lattice.forward(matrix, p))
+                    distinct, first, back = np.unique(found.hashes, return_index=True, return_inverse=True)
+                    of_word = known_words.get(distinct, lambda new: likelihoods(lattice, found.buf, found.starts[first[new]], found.ends[first[new]], p))
                     for c in range(len(languages)):
                         total[:, c] = np.bincount(found.docs, weights=of_word[back, c], minlength=part.num_rows)
                 best = total.argmax(axis=1)

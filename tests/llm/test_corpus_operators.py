@@ -104,16 +104,50 @@ def segmentations(word, p):
     return sum(p.get(word[:k], 0.0) * segmentations(word[k:], p) for k in range(1, len(word) + 1))
 
 
+def flat(found):
+    """Words as one array of bytes, with their places and lengths."""
+    lengths = np.array([len(w) for w in found])
+    return np.frombuffer(b"".join(found), np.uint8), np.cumsum(lengths) - lengths, lengths
+
+
+def plain_log_forward(word, logs):
+    """log of the sum over all segmentations, position by position in log space."""
+    alpha, longest = [0.0], max(map(len, logs))
+    for i in range(1, len(word) + 1):
+        terms = [alpha[j] + logs[word[j:i]] for j in range(max(0, i - longest), i) if word[j:i] in logs]
+        top = max(terms)
+        alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+    return alpha[-1]
+
+
 def test_forward_sums_all_segmentations():
     pieces = sorted({bytes([b]) for b in range(256)} | {b"ab", b"bc", b"abc", b" a", b"ca"})
     weights = np.random.default_rng(1).random((len(pieces), 2))
     weights /= weights.sum(axis=0)
     lattice = op7_language.Lattice(pieces)
-    for word in (b" abcab", b" a", b" ", b" abcabcabcabc"):
-        matrix = np.frombuffer(word, np.uint8)[None, :]
-        got = lattice.forward(matrix, weights)[0]
+    found = [b" abcab", b" a", b" ", b" abcabcabcabc"]
+    got = lattice.forward(*flat(found), weights)
+    for word, row in zip(found, got):
         for c in range(2):
-            assert got[c] == pytest.approx(math.log(segmentations(word, dict(zip(pieces, weights[:, c])))))
+            assert row[c] == pytest.approx(math.log(segmentations(word, dict(zip(pieces, weights[:, c])))))
+
+
+def test_words_of_any_length_equal_a_plain_forward_pass():
+    rng = np.random.default_rng(5)
+    pieces = sorted({bytes([b]) for b in range(256)} | {bytes(rng.choice(list(b"abc"), n).tolist()) for n in range(2, 33) for _ in range(6)} | {"ж".encode() * 16})
+    weights = rng.random((len(pieces), 3))
+    weights /= weights.sum(axis=0)
+    found = [b" " + bytes(rng.choice(list(b"abcd"), n).tolist()) for n in (1, 47, 48, 49, 62, 200, 3000)] + [b" " + "ж".encode() * 100]
+    lattice = op7_language.Lattice(pieces)
+    for group in (found, found[:1], found[5:]):
+        got = lattice.forward(*flat(group), weights)
+        for c in range(3):
+            logs = {q: math.log(w) for q, w in zip(pieces, weights[:, c])}
+            assert [plain_log_forward(w, logs) for w in group] == pytest.approx(got[:, c].tolist(), rel=1e-9)
+    arcs = lattice.arcs(*flat(found))
+    want = {(r, j, j - i) for r, w in enumerate(found) for j in range(1, len(w) + 1) for i in range(max(0, j - 32), j) if w[i:j] in set(pieces)}
+    assert set(zip(arcs.row.tolist(), arcs.end.tolist(), arcs.size.tolist())) == want and len(arcs.row) == len(want)
+    assert all(pieces[k] == found[r][e - z : e] for r, e, z, k in zip(*(x.tolist() for x in arcs)))
 
 
 def test_expected_counts_by_enumeration():
@@ -121,7 +155,7 @@ def test_expected_counts_by_enumeration():
     weights = np.random.default_rng(2).random((len(pieces), 2))
     weights /= weights.sum(axis=0)
     word = b" abcb"
-    got = op7_language.Lattice(pieces).expected(np.frombuffer(word, np.uint8)[None, :], np.array([[3.0, 0.0]]), weights)
+    got = op7_language.Lattice(pieces).expected(*flat([word]), np.array([0]), np.array([3.0]), weights)
     p, want, total = dict(zip(pieces, weights[:, 0])), collections.Counter(), 0.0
     for cuts in itertools.product([0, 1], repeat=len(word) - 1):
         parts, at = [], 0
@@ -138,24 +172,43 @@ def test_expected_counts_by_enumeration():
     assert not got[:, 1].any()
 
 
-def test_expected_passes_only_over_the_languages_of_a_row(monkeypatch):
+def test_expected_counts_of_long_words_and_several_languages():
     assert (op7_language.PER_LANGUAGE, op7_language.ROUNDS) == (2000, 3)
     pieces = sorted({bytes([b]) for b in range(256)} | {b"ab", b"bc", b"abc", b"ca"})
     p = np.random.default_rng(3).random((len(pieces), 3))
     p /= p.sum(axis=0)
-    lattice, seen = op7_language.Lattice(pieces), []
-    monkeypatch.setattr(lattice, "arcs", lambda m, f=lattice.arcs: (seen.append(len(m)), f(m))[1])
-    matrix = np.frombuffer(b"abcab" * 16 + b"cabca" * 16, np.uint8).reshape(2, 80)
-    got = lattice.expected(matrix, np.array([[0, 2.0, 0], [0, 0, 5.0]]), p)
-    assert seen == [2] and not got[:, 0].any()
+    lattice, found = op7_language.Lattice(pieces), flat([b"abcab" * 16, b"cabca" * 400, b"ab"])
+    got = lattice.expected(*found, np.array([1, 2, 2]), np.array([2.0, 5.0, 3.0]), p)
     size = np.array([len(x) for x in pieces])
-    assert size @ got == pytest.approx([0, 160, 400])  # the pieces of a segmentation are as long as its word
-    for c, h in ((1, 2), (2, 5)):  # uses are the slope of the log likelihood by the log of a piece's probability
-        k, up, down = pieces.index(b"abc"), p.copy(), p.copy()
-        up[k] *= 1 + 1e-6
-        down[k] /= 1 + 1e-6
-        slope = (lattice.forward(matrix, up) - lattice.forward(matrix, down))[c - 1, c] / 2e-6
-        assert got[k, c] == pytest.approx(h * slope, rel=1e-4)
+    assert not got[:, 0].any() and size @ got == pytest.approx([0, 160, 10_006])  # the pieces of a segmentation are as long as its word
+    k, up, down = pieces.index(b"abc"), p.copy(), p.copy()  # uses are the slope of the log likelihood by the log of a piece's probability
+    up[k] *= 1 + 1e-6
+    down[k] /= 1 + 1e-6
+    slope = (lattice.forward(*found, up) - lattice.forward(*found, down)) / 2e-6
+    assert got[k, 1:] == pytest.approx([2 * slope[0, 1], 5 * slope[1, 2] + 3 * slope[2, 2]], rel=1e-4)
+
+
+def test_predictions_equal_a_plain_forward_pass(spark, monkeypatch):
+    rows = [(i, *x) for i, x in enumerate([("the cat sat on the Mat", "en", "a"), ("der Hund und die Katze", "de", "a"), ("the dog and the cat", "en", "a"), ("die Maus und der Hund", "de", "b")] * 3)]
+    texts = [*(t for _, t, _, _ in rows), "unddie" * 40 + " the", "日本語" * 300 + " cat", "x" * 3000, " ", None, "the\x1cder"]
+    train = docs(spark, rows).select("doc_id", "text", "lang")
+    model = op7_language.fit(train, op7_language.read_vocabulary(queries.PIECES))
+    assert model.languages == ["de", "en"] and model.p.sum(axis=0) == pytest.approx([1, 1])
+    monkeypatch.setattr(op7_language, "GROUP_BYTES", 64)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("score", F.lit("clash"))
+    got = {r.doc_id: r for r in op7_language.predict(df, model).collect()}
+    logs = [{q: math.log(w) for q, w in zip(model.pieces, model.p[:, c])} for c in range(2)]
+    for i, text in enumerate(texts):
+        found = [w.lower() for w in (text or "").encode().replace(b"\n", b" ").split(b" ") if w]
+        total = [sum(plain_log_forward(b" " + w, q) for w in found) for q in logs]
+        best = 0 if total[0] >= total[1] else 1
+        if not found:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+        else:
+            assert got[i].lang_pred == model.languages[best]
+            assert got[i].score == pytest.approx(1 / (1 + math.exp(-abs(total[0] - total[1]))), rel=1e-6)
+    few = op7_language.fit(train, model.pieces, max_languages=1)
+    assert few.languages == ["de"]
 
 
 def test_language_id_on_held_out_documents(spark):
