@@ -4,11 +4,13 @@ Counting: a task turns texts into (previous, next) pairs of 64-bit word hashes,
 by shard, a range of the pair's hash.  A frequent pair, or a hot source, thus costs each task one entry.  A second task a
 shard adds them up, writes the shard's sorted hashes and counts to the shared folder, and sends what each word needs (raw
 count, contexts before it, successors seen once, twice, more often) to the shards of words, which do the same.  The number
-of shards follows the size of the input, so a shard's memory does not.  Files are written under another name and renamed,
-and have the same content if a lost task is run again.
+of shards follows the counted bytes of all texts, and a shard is added up in ``PARTS`` ranges of its hashes one after another, so
+the memory of a task does not grow with the input.  Files are written under another name and renamed, and have the same
+content if a lost task is run again.
 
-Scoring: workers map the arrays (from a file system that cannot be mapped they read a shard as a whole when it is needed) and
-look up the sorted distinct pairs and words of a slice of texts.
+Scoring: workers map the arrays and look up the sorted distinct pairs and words of a slice of texts.  At most ``MAPPED`` bytes
+are mapped at a time.  What a file system cannot map is copied into the folder that Spark gives the worker, and copied
+again if that is lost.
 
     P(w | v) = max(c(v w) - D, 0) / c(v) + g(v) P(w)      P(w) = max(t(w) - E, 0) / T + g 1 / (V + 1)
 
@@ -16,13 +18,16 @@ with t(w) the number of different words before w, T their sum, D and E the three
 counts (0.5, 1 and 1.5 where those are zero), and g what the discounts free.  Unknown words share the uniform part.
 
 Null texts are empty and have the end token alone.  A row without doc_id is not held out and is learned from.  Repeated rows
-count each time.  Without training rows every token has the uniform probability.
+count each time and are scored each time.  Without training rows every token has the uniform probability; an empty table to
+score gives no rows.  A text of any length is one row of one slice and counts whole.  Only the key and the text are read, so
+other columns, whatever their names, do not matter and are not returned.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -35,9 +40,12 @@ from .store import bounded_batches, fresh_path, local_path
 from .vector import U64, pair_hash, slices, words
 
 BEGIN, END = U64(0x5BE0CD19137E2179), U64(0x1F83D9ABFB41BD6B)
-FLUSH = 2_000_000
-SHARD_BYTES = 24 << 20
-KNOWN_BYTES = 1 << 56
+FLUSH = 700_000
+SHARD_BYTES = 32 << 20
+PARTS_BITS = 4
+PARTS = 1 << PARTS_BITS
+SLICE_BYTES = 1 << 20
+MAPPED = 192 << 20
 STATS = ["n", "v", "types", *(f"t{i}" for i in range(1, 5)), *(f"m{i}" for i in range(1, 5))]
 WORD = np.dtype([("raw", "<u8"), ("before", "<u4"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
 
@@ -73,11 +81,24 @@ def _map(path: str, dtype) -> np.ndarray:
     local = local_path(path)
     if local is not None:
         return np.memmap(local, dtype, "r") if os.path.getsize(local) else np.zeros(0, dtype)
+    return _map(_local_copy(path), dtype)
+
+
+def _local_copy(path: str) -> str:
+    """A copy of a remote file in the folder that Spark gives this worker and removes with it."""
     from pyarrow import fs
+    from pyspark import SparkFiles
 
-    system, inner = fs.FileSystem.from_uri(path)
-    with system.open_input_file(inner) as f:
-        return np.frombuffer(f.read(), dtype)
+    local = os.path.join(SparkFiles.getRootDirectory(), *path.rsplit("/", 2)[1:])
+    if not os.path.exists(local):
+        system, inner = fs.FileSystem.from_uri(path)
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        part = f"{local}.{uuid.uuid4().hex}"
+        with system.open_input_stream(inner) as source, open(part, "wb") as f:
+            while piece := source.read(4 << 20):
+                f.write(piece)
+        os.replace(part, local)
+    return local
 
 
 def _tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,16 +148,19 @@ def _count(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, token, counts, held = [], [], [], 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 v, w, _ = _tokens(part.column(0))
                 h, first, n = np.unique(pair_hash(v, w), return_index=True, return_counts=True)
                 before.append(v[first])
                 token.append(w[first])
                 counts.append(n)
                 held += len(h)
+                del v, w, h, first, n
                 if held > FLUSH:
-                    yield _pack_pairs(before, token, counts, bits)
+                    packed = _pack_pairs(before, token, counts, bits)
                     before, token, counts, held = [], [], [], 0
+                    yield packed
+                    del packed
         if held:
             yield _pack_pairs(before, token, counts, bits)
 
@@ -160,19 +184,31 @@ def _merge_pairs(path: str, bits: int):
         shard = table.column("shard")[0].as_py()
         v = np.repeat(_array(table.column("v"), np.uint64), _array(table.column("runs"), np.uint32))
         w, c = _array(table.column("w"), np.uint64), _array(table.column("c"), np.uint32)
-        h, first, back = np.unique(pair_hash(v, w), return_index=True, return_inverse=True)
-        total = np.bincount(back, weights=c).astype(np.uint64)
-        v, w = v[first], w[first]
-        many = np.flatnonzero(total >= 255)
-        _put(f"{path}/pair-{shard}.hash", h.tobytes())
-        _put(f"{path}/pair-{shard}.count", np.minimum(total, 255).astype(np.uint8).tobytes())
-        _put(f"{path}/pair-{shard}.many", np.stack((many.astype(np.uint64), total[many]), 1).tobytes())
-        one = np.ones(len(h), np.uint64)
-        before = _by_key(w, total, one)
-        after = _by_key(v, total == 1, total == 2, total >= 3)
-        counts = np.bincount(np.minimum(total, 5).astype(np.int64), minlength=6)[1:5].astype(np.uint64)
+        hashes = pair_hash(v, w)
+        part = ((hashes >> U64(64 - bits - PARTS_BITS)) & U64(PARTS - 1)).astype(np.uint8)
+        files: dict[str, list[bytes]] = {"hash": [], "count": [], "many": []}
+        n, counts = 0, np.zeros(4, np.uint64)
+        before, after = [], []
+        for p in range(PARTS):
+            rows = np.flatnonzero(part == p)
+            h, first, back = np.unique(hashes[rows], return_index=True, return_inverse=True)
+            total = np.bincount(back, weights=c[rows], minlength=len(h)).astype(np.uint64)
+            first = rows[first]
+            many = np.flatnonzero(total >= 255)
+            files["hash"].append(h.tobytes())
+            files["count"].append(np.minimum(total, 255).astype(np.uint8).tobytes())
+            files["many"].append(np.stack((many.astype(np.uint64) + U64(n), total[many]), 1).tobytes())
+            before.append(_by_key(w[first], total, np.ones(len(h), np.uint64)))
+            after.append(_by_key(v[first], total == 1, total == 2, total >= 3))
+            counts += np.bincount(np.minimum(total, 5).astype(np.int64), minlength=6)[1:5].astype(np.uint64)
+            n += len(h)
+        del v, w, c, hashes, part
+        for name, pieces in files.items():
+            _put(f"{path}/pair-{shard}.{name}", b"".join(pieces))
+        files.clear()
         rows = [(0, "t", b"", *(counts[i : i + 1].tobytes() for i in range(4)))]
-        for kind, sums in (("w", before), ("v", after)):
+        for kind, found in (("w", before), ("v", after)):
+            sums = _by_key(*map(np.concatenate, zip(*found, strict=True)))
             for at, a, b in _segments(sums[0], bits):
                 values = [x[a:b].astype(np.uint64).tobytes() if kind == "w" and k == 0 else x[a:b].astype(np.uint32).tobytes() for k, x in enumerate(sums[1:])]
                 rows.append((at, kind, sums[0][a:b].tobytes(), *values, *[b""] * (4 - len(values))))
@@ -212,9 +248,7 @@ def fit(rows: DataFrame, text: str = "text") -> Model:
     """Count and store the model of all rows."""
     spark = rows.sparkSession
     bounded_batches(spark)
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > KNOWN_BYTES:  # the plan cannot tell, as for rows that are not from files
-        size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    size = rows.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     bits = max(4, int(np.ceil(np.log2(max(size / SHARD_BYTES, 1)))))
     path = fresh_path(spark, "ngrams")
     pairs = rows.select(F.col(text).cast("string").alias("text")).mapInArrow(_count(bits), PAIRS)
@@ -233,14 +267,18 @@ def discounts(n: list[int]) -> np.ndarray:
 
 
 class _Arrays:
-    """The mapped arrays of a model."""
+    """The mapped arrays of a model; those used longest ago are closed when more than ``MAPPED`` bytes are open."""
 
     def __init__(self, model: Model):
-        self.model, self.open = model, {}
+        self.model, self.open, self.size = model, OrderedDict(), 0
 
     def _get(self, name: str, dtype) -> np.ndarray:
         if name not in self.open:
             self.open[name] = _map(f"{self.model.path}/{name}", dtype)
+            self.size += self.open[name].nbytes
+            while self.size > MAPPED and len(self.open) > 1:
+                self.size -= self.open.popitem(last=False)[1].nbytes
+        self.open.move_to_end(name)
         return self.open[name]
 
     def _find(self, kind: str, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -295,7 +333,7 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
         freed = float(low[1:] @ kinds) / types if s["types"] else 1.0
         begins = arrays.words(np.array([END]))["raw"][0]
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 before, token, row = _tokens(part.column(1))
                 known, at = np.unique(np.concatenate((token, before)), return_inverse=True)
                 stat = arrays.words(known)
