@@ -1,15 +1,19 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped into lines, one for each block of the page.  Parts that are never article text (menus, forms, scripts,
-adverts, comments and the like, told by element or by words of class, id and role) leave a gap of empty lines.  The
-text lengths of lines, without links, are summed over a sliding window of ``WIDTH`` lines; text begins at a surge
-point, where the sum passes a threshold and the next sums are not zero, and ends at a dive point, where it falls to zero.
-Lines between them are kept whole.
-
-Where a page marks its article (article, main, or a role or property that says so), lines outside count as empty and
-any text is a surge.  Elsewhere the threshold is ``SURGE`` characters; if no window reaches it, the densest run of lines
-is kept.  Null or empty html, or a page without text, gives "".  Rows are handled one by one: repeated rows give
-repeated results and extra columns pass through.
+Markup is stripped into lines, one for each block of the page.  A line's size is its text length without links, times a weight; the
+sizes are summed over a sliding window of ``WIDTH`` lines.  Text begins at a surge point, where the sum passes ``SURGE`` (or comes
+to the page's largest sum, if none does), and ends at a dive point, where it falls to zero.  Lines of positive weight between
+them are kept whole, on all pages alike; so three lines of links alone end the text, inside an article too.
+
+Elements and words only weigh lines.  Lines in menus, adverts, comments and the like (told by element or by words of class, id
+and role) weigh nothing, and such a part leaves a gap of ``WIDTH`` empty lines before and behind it.  One that is never closed and
+holds half of the page's text does not count as such.  A form weighs nothing unless it holds an article or more than
+``FORM_CHARS`` characters of text for each of its controls and as many besides.  Where a page marks its article (article, main, or a role
+or property that says so), each character in it weighs as much as a surge, and lines outside it nothing.
+
+Null or empty html, or a page without text, gives "".  Pages of any length are read whole, in time in proportion to their length.
+Rows are handled one by one: repeated rows give repeated results; extra columns pass through, except that the results replace
+columns of their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,18 +32,23 @@ from .store import bounded_batches
 
 WIDTH = 3
 SURGE = 86
+ARTICLE_WEIGHT = SURGE + 1
+FORM_CHARS = 200
 
 MARKUP = re.compile(r"<(?:(!--)|([!?])|(/?)(?=[a-zA-Z]))")
 NAME_END = re.compile(r"[\s/>]")
 QUOTE_OR_END = re.compile(r"""["'>]""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
+INPUT = re.compile(r"""\btype\s*=\s*["']?hidden\b""", re.I)
 
 # Elements of HTML.
-RAW = set("script style textarea title xmp iframe noembed noframes".split())
+RAW = {tag: re.compile(rf"</{tag}(?=[\s/>]|$)", re.I | re.A) for tag in "script style textarea title xmp iframe noembed noframes".split()}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup td th time tt u var wbr".split())
-SKIPPED = set("aside button canvas datalist dialog footer form head iframe menu nav noembed noframes noscript object script select style svg template textarea title video audio xmp input".split())
+SKIPPED = set("button canvas datalist head iframe noembed noframes noscript script select style svg template textarea title video audio xmp input".split())
+CONTROLS = set("button input select textarea".split())
+APART = set("aside dialog footer menu nav object".split())
 ENDS_P = set("address article aside blockquote center details dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table ul".split())
 
 # Words of class, id and role that mark what is not article text, and those that mark what is.
@@ -53,7 +62,7 @@ def _words(value: str) -> set[str]:
 
 
 def _is_junk(tag: str, named: set[str], attrs: dict[str, str], in_article: bool) -> bool:
-    if tag in SKIPPED or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
+    if tag in APART or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
         return True
     if tag == "header":
         return not in_article
@@ -126,13 +135,29 @@ class _Tags:
         return None
 
 
+class _Part:
+    """A part of a page that may weigh nothing: a form, or what an element or words set apart."""
+
+    def __init__(self, form: bool, around: _Part | None) -> None:
+        self.form, self.around, self.closed, self.article = form, around, False, False
+        self.chars = self.controls = 0
+
+    def counts(self, page_chars: int) -> bool:
+        """Whether its lines weigh nothing."""
+        if self.form:
+            return not self.article and self.chars <= FORM_CHARS * (1 + self.controls)
+        return self.closed or 2 * self.chars < page_chars
+
+
 class _Lines:
-    """Collects the lines of a page: text, whether in a marked article, and characters of links."""
+    """Collects the lines of a page: text, characters of links, whether in a marked article, and the parts around it."""
 
     def __init__(self) -> None:
         self.text: list[str] = []
         self.inside: list[bool] = []
         self.links: list[int] = []
+        self.within: list[_Part | None] = []
+        self.apart: list[_Part] = []
         self.parts: list[str] = []
         self.link_chars = 0
 
@@ -142,34 +167,65 @@ class _Lines:
         if link:
             self.link_chars += len(part)
 
-    def end_line(self, inside: bool) -> None:
+    def end_line(self, inside: bool, within: _Part | None) -> None:
         if self.parts:
             if line := " ".join("".join(self.parts).split()):
-                self.text.append(line)
-                self.inside.append(inside)
-                self.links.append(min(self.link_chars, len(line)))
+                links = min(self.link_chars, len(line))
+                self._line(line, inside, links, within)
+                if within:
+                    within.chars += len(line) - links
             self.parts, self.link_chars = [], 0
 
     def gap(self) -> None:
-        self.text += [""] * WIDTH
-        self.inside += [False] * WIDTH
-        self.links += [0] * WIDTH
+        for _ in range(WIDTH):
+            self._line("", False, 0, None)
+
+    def _line(self, text: str, inside: bool, links: int, within: _Part | None) -> None:
+        self.text.append(text)
+        self.inside.append(inside)
+        self.links.append(links)
+        self.within.append(within)
+
+    def begin(self, form: bool, around: _Part | None) -> _Part:
+        self.apart.append(_Part(form, around))
+        return self.apart[-1]
+
+    def settle(self) -> None:
+        """Count what is in a part for the parts around it too."""
+        for part in reversed(self.apart):
+            if around := part.around:
+                around.chars += part.chars
+                around.controls += part.controls
+                around.article |= part.article
+
+    def weights(self) -> np.ndarray:
+        """The weight of each line."""
+        chars = sum(map(len, self.text)) - sum(self.links)
+        nothing: dict[_Part | None, bool] = {None: False}
+        for part in self.apart:
+            nothing[part] = nothing[part.around] or part.counts(chars)
+        plain = np.array([not nothing[part] for part in self.within], bool)
+        marked = plain & np.array(self.inside, bool)
+        return marked * ARTICLE_WEIGHT if marked.any() else plain * 1
 
 
 def page_lines(page: str) -> _Lines:
     """Strip the markup of a page."""
-    out, stack = _Lines(), []  # of (tag, begins a skipped part, marks an article, is a link)
+    out, stack = _Lines(), []  # of (tag, is skipped, part that it begins, marks an article, is a link)
     opened: Counter[str] = Counter()
+    within: _Part | None = None
     skipped = articles = links = 0
-    at, end, lower, tags = 0, len(page), None, _Tags(page)
+    at, end, tags = 0, len(page), _Tags(page)
 
-    def pop() -> None:
-        nonlocal skipped, articles, links
-        tag, junk, article, link = stack.pop()
+    def pop(closed: bool) -> None:
+        nonlocal skipped, articles, links, within
+        tag, skip, part, article, link = stack.pop()
         opened[tag] -= 1
-        skipped, articles, links = skipped - junk, articles - article, links - link
-        if junk and not skipped:
-            out.gap()
+        skipped, articles, links = skipped - skip, articles - article, links - link
+        if part:
+            within, part.closed = part.around, closed
+            if not part.form and not skipped:
+                out.gap()
 
     while at < end:
         found = tags.next(at)
@@ -182,70 +238,73 @@ def page_lines(page: str) -> _Lines:
         if not tag:
             continue
         if tag not in INLINE and not skipped:
-            out.end_line(articles > 0)
+            out.end_line(articles > 0, within)
         elif tag in ("br", "td", "th") and not skipped:
             out.add(" ", False)
         if closes:
             if opened[tag]:
-                while True:
-                    name = stack[-1][0]
-                    pop()
-                    if name == tag:
-                        break
+                while stack[-1][0] != tag:
+                    pop(False)
+                pop(True)
             continue
         if tag in ENDS_P or tag == "li":
             for k in range(len(stack) - 1, -1, -1):
                 name = stack[k][0]
                 if name == "p" and tag in ENDS_P or name == tag == "li":
                     while len(stack) > k:
-                        pop()
+                        pop(True)
                     break
                 if name not in INLINE:
                     break
         attrs = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(attributes)} if attributes else {}
-        named = _words(" ".join(v for k, v in attrs.items() if k in ("class", "id", "role")))
-        junk = _is_junk(tag, named, attrs, articles > 0)
+        if within and tag in CONTROLS and not (tag == "input" and INPUT.search(attributes)):
+            within.controls += 1
         if tag in VOID or attributes.endswith("/") and tag not in ENDS_P:
             continue
-        if junk and not skipped:
-            out.end_line(articles > 0)
-            out.gap()
-        article = not junk and (tag in ("article", "main") or bool({"article", "main"} & _words(attrs.get("role", ""))) or attrs.get("itemprop", "").lower() == "articlebody")
-        stack.append((tag, junk, article, tag == "a"))
+        named = _words(" ".join(v for k, v in attrs.items() if k in ("class", "id", "role")))
+        skip = tag in SKIPPED
+        junk = not skip and _is_junk(tag, named, attrs, articles > 0)
+        part = None
+        if junk or tag == "form":
+            if not skipped:
+                out.end_line(articles > 0, within)
+                if junk:
+                    out.gap()
+            part = within = out.begin(not junk, within)
+        article = not junk and not skip and (tag in ("article", "main") or bool({"article", "main"} & _words(attrs.get("role", ""))) or attrs.get("itemprop", "").lower() == "articlebody")
+        if article and within:
+            within.article = True
+        stack.append((tag, skip, part, article, tag == "a"))
         opened[tag] += 1
-        skipped, articles, links = skipped + junk, articles + article, links + (tag == "a")
+        skipped, articles, links = skipped + skip, articles + article, links + (tag == "a")
         if tag in RAW:
-            lower = page.lower() if lower is None and len(page.lower()) == len(page) else lower
-            close = (lower or page).find(f"</{tag}", at)
-            at = end if close < 0 else close
+            close = RAW[tag].search(page, at)
+            at = close.start() if close else end
     if not skipped:
-        out.end_line(articles > 0)
+        out.end_line(articles > 0, within)
+    out.settle()
     return out
 
 
 def kept_lines(lines: _Lines, width: int = WIDTH, surge: int = SURGE) -> list[str]:
-    """The lines between surge and dive points."""
+    """The lines of positive weight between surge and dive points."""
     n = len(lines.text)
-    marked = any(lines.inside)
-    size = np.array([len(t) for t in lines.text], np.int64)
-    if marked:
-        size[~np.array(lines.inside, bool)] = 0
-    else:
-        size = np.maximum(size - np.array(lines.links, np.int64), 0)
+    if not n:
+        return []
+    weight = lines.weights()
+    size = (np.array([len(t) for t in lines.text], np.int64) - np.array(lines.links, np.int64)) * weight
     total = np.concatenate(([0], np.cumsum(size)))
     block = total[np.minimum(np.arange(n) + width, n)] - total[:n]
-    threshold = 0 if marked else surge
-    runs, start = [], None  # of (first line, line after the last, characters)
-    for i in range(n + 1):
-        if i == n or not block[i]:
-            if start is not None:
-                runs.append((start, i, int(total[i] - total[start])))
-            start = None
-        elif start is None and size[i]:
-            start = i
-    passed = [r for r in runs if block[r[0] : r[1]].max() > threshold]
-    chosen = passed or ([max(runs, key=lambda r: r[2])] if runs else [])
-    return [lines.text[i] for a, b, _ in chosen for i in range(a, b) if lines.text[i] and (not marked or lines.inside[i])]
+    threshold = min(surge, int(block.max()) - 1)
+    kept, inside = [], False
+    for i in range(n):
+        if not block[i]:
+            inside = False
+        elif not inside and size[i] and block[i] > threshold:
+            inside = True
+        if inside and weight[i] and lines.text[i]:
+            kept.append(lines.text[i])
+    return kept
 
 
 def extract(page: str | None) -> str:
