@@ -12,7 +12,9 @@ member of several records, and in what inflates of a member before its damage or
 Payloads are the html in UTF-8, empty for null.  Of records with equal payloads of at least ``least`` bytes, the one with the
 smallest page_id is a response and the others revisit it; smaller ones are all responses.  A page without page_id is
 written without an id and never chosen over one with an id; among rows that repeat the smallest page_id all are
-responses.  Empty tables give no file and no rows; extra columns are not archived.
+responses.  Empty tables give no file and no rows; extra columns are not archived, whatever their names.  A page of any
+length is one record; a file is closed behind the record with which its members pass ``file_bytes``, so no file that is read as one
+row has more than that and one record.
 """
 
 from __future__ import annotations
@@ -26,16 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, fresh_path, materialise
+from .store import bounded_batches, discard, fresh_path, materialise
+from .vector import slices
 
 GZIP = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 END = b"\r\n\r\n"
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 ID = re.compile(r"<urn:page:(-?\d+)>")
-#: A table of repeated payloads is broadcast up to this many rows (about 100 bytes each), and joined by key beyond.
+#: A table of revisits is broadcast up to this many rows (about 100 bytes each), and joined by page beyond.
 BROADCAST_ROWS = 50_000
-RECORDS_PER_FILE = 50_000
+RECORDS_PER_FILE, FILE_BYTES = 50_000, 32 << 20
+#: Payloads with more than one in HOT_SHARE of all rows are found by a broadcast, which thus has at most that many rows.
+HOT_SHARE, HOT_LEAST = 2_000, 100
 
 
 def build_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -68,31 +73,44 @@ def with_references(pages: DataFrame, least: int = 100) -> DataFrame:
         F.col("url").cast("string").alias("url"),
         F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("digest", F.sha2("payload", 256))
-    repeated = materialise(
-        rows.filter((F.octet_length("payload") >= least) & F.col("page_id").isNotNull())
-        .groupBy(F.col("digest").alias("same"))
-        .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-        .filter("n > 1")
-        .drop("n"),
-        "warc-repeated",
-    )
-    small = repeated.count() <= BROADCAST_ROWS
-    joined = rows.join(F.broadcast(repeated) if small else repeated, rows.digest == repeated.same, "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("payload") >= least), F.col("first"))
-    return joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
-
-
-def write_warc(rows: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
+    usable = rows.filter(F.octet_length("payload") >= least).select("page_id", "digest")
+    repeated = usable.filter("page_id is not null").groupBy(F.col("digest").alias("same")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    repeated = materialise(repeated.filter("n > 1"), "warc-repeated")
+    size = repeated.agg(F.count("*").alias("rows"), F.sum("n").alias("pages")).first()
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("payload") >= least), F.col("first")).alias("refers_to")
+    names = ["page_id", "url", "payload", "digest"]
+    if size["rows"] <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(repeated), rows.digest == repeated.same, "left").select(*names, refers)
+    # pages of frequent payloads learn the first from a broadcast; of the others only ids are dealt by digest, and payloads by page
+    hot = F.broadcast(repeated.filter(F.col("n") > max(size["pages"] // HOT_SHARE, HOT_LEAST)).select(F.col("same").alias("hot"), "first"))
+    frequent = rows.join(hot, F.col("digest") == F.col("hot")).select(*names, refers)
+    rare = usable.join(hot, F.col("digest") == F.col("hot"), "left_anti").join(repeated, F.col("digest") == F.col("same"))
+    revisits = rare.filter(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first").distinct()
+    revisits = materialise(revisits, "warc-revisits")
+    rest = rows.join(hot, F.col("digest") == F.col("hot"), "left_anti")
+    rest = rest.join(revisits, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").select(*names, F.col("first").alias("refers_to"))
+    return frequent.unionByName(rest)
+
+
+def write_warc(rows: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
     """Write rows of ``with_references`` as ``.warc.gz`` files below ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, written, file = 0, 0, 0
         for batch in batches:
-            members = [gzip_member(build_record(*r))[:-1] for r in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["member"])
+            for part in slices(batch, "payload", 4 << 20):
+                members = [gzip_member(build_record(*r))[:-1] for r in zip(*(part.column(k).to_pylist() for k in range(5)), strict=True)]
+                files = []
+                for m in members:
+                    files.append(file)
+                    held, written = held + 1, written + len(m) + 1
+                    if written >= file_bytes or held >= records_per_file:
+                        held, written, file = 0, 0, file + 1
+                yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary()), pa.array(files, pa.int32())], names=["member", "file"])
 
     bounded_batches(rows.sparkSession)
-    members = rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "member binary")
-    members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
+    members = rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "member binary, file int")
+    members.select(F.col("member").cast("string").alias("value"), "file").write.partitionBy("file").option("lineSep", "\0").text(path)
 
 
 def _inflate(data: memoryview, start: int) -> tuple[bytes, int, bool]:
@@ -247,9 +265,25 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, schema)
 
 
-def archive_round_trip(pages: DataFrame, least: int = 100, records_per_file: int = RECORDS_PER_FILE) -> DataFrame:
+def archive_round_trip(pages: DataFrame, least: int = 100, records_per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write all pages as archives in the shared folder and read them back."""
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
-    write_warc(with_references(pages, least), path, records_per_file)
-    return read_warc(spark, path)
+    write_warc(with_references(pages, least), path, records_per_file, file_bytes)
+    found = read_warc(spark, path)
+    found.foliate_path = path
+    return found
+
+
+def archived_pages(pages: DataFrame, least: int = 100) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of all pages, read back from their archives.
+
+    The archives are removed when they are read.  If they do not hold one record for each page, that is an error.
+    """
+    archives = archive_round_trip(pages, least)
+    found = materialise(archives.select("kind", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "warc-records")
+    discard(archives)
+    written, read = pages.count(), found.filter("kind = 'record'").count()
+    if written != read:
+        raise RuntimeError(f"{written} pages were archived and {read} records read back")
+    return found.filter("kind = 'record'").drop("kind")

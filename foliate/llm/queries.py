@@ -31,8 +31,7 @@ def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = op3_warc.archive_round_trip(_read(spark, sf_dir, "pages"))
-    return found.filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return op3_warc.archived_pages(_read(spark, sf_dir, "pages"))
 
 
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
