@@ -7,10 +7,14 @@ and stops when the bound (the sum over dimensions of query component times list
 k-th score.  Where the lists overlap little, as in noise, the last round reads them to the end and the result is still exact.
 The best k of each cell are merged by query.
 
+Scores are exact whole numbers: a cell whose largest possible sum is below 2^53 is scored in doubles, below 2^63 in 64-bit
+integers, and beyond that in integers without a bound, whose scores become the nearest long before they are ranked; a component
+whose floor is beyond a long is the nearest long.
+
 Vectors null, or with null or non-finite components, or without an id, take no part.  A vector shorter than others counts as
 ending in zeros.  Equal scores go to the smaller id.  A query is compared with every row of another id; rows that repeat an
 id are all candidates, and a repeated query row counts once (its first by components).  Fewer than k candidates give
-fewer rows; empty tables give none.
+fewer rows; empty tables give none.  Only the id and the vector are read: extra columns do not matter and are not returned.
 """
 
 from __future__ import annotations
@@ -40,13 +44,22 @@ def quantised(df: DataFrame, key: str, vector: str, scale: float = 256.0) -> Dat
 def _matrix(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
     column = vectors.combine_chunks()
     lengths = np.diff(column.offsets.to_numpy())
-    out = np.zeros((len(lengths), width))
+    out = np.zeros((len(lengths), width), np.int64)
     out[np.arange(width) < lengths[:, None]] = column.flatten().to_numpy()
     return out
 
 
+def _exact(queries: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both in the narrowest type that holds every sum of their products exactly."""
+    most = lambda x: max(abs(int(x.min(initial=0))), abs(int(x.max(initial=0))))
+    bound = most(queries) * most(rows) * max(rows.shape[1], 1)
+    kind = np.float64 if bound < 1 << 53 else np.int64 if bound < 1 << 63 else object
+    return queries.astype(kind), rows.astype(kind)
+
+
 def threshold_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query (its id, ids of the best k, their scores); components are whole numbers held as doubles."""
+    """For each query (its id, ids of the best k, their scores); components are whole numbers in 64 bits."""
+    queries, rows = _exact(queries, rows)
     by_id = np.argsort(ids, kind="stable")
     rows, ids = rows[by_id], ids[by_id]
     n, width = rows.shape
@@ -56,7 +69,7 @@ def threshold_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
         up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
         used = len(up) + len(down)
         seen = np.zeros(n, bool)
-        best, best_at = np.zeros(0), np.zeros(0, np.int64)
+        best, best_at = np.zeros(0, rows.dtype), np.zeros(0, np.int64)
         depth = min(n, max(4 * k, n // (4 * max(used, 1))))
         while True:
             if depth >= n or not used:
@@ -74,7 +87,7 @@ def threshold_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
                 ok &= scores >= best[-1]
             best_at = np.concatenate((best_at, fresh[ok]))
             best = np.concatenate((best, scores[ok]))
-            keep = np.lexsort((best_at, -best))[:k]
+            keep = np.lexsort((best_at, -best))[:k] if best.dtype != object else np.array(sorted(range(len(best)), key=lambda x: (-best[x], best_at[x])), np.int64)[:k]
             best, best_at = best[keep], best_at[keep]
             if depth >= n:
                 break
@@ -82,7 +95,7 @@ def threshold_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
             if len(best) == k and bound < best[-1]:
                 break
             depth = n if seen.sum() * 2 > n else depth * 4
-        yield int(own), ids[best_at], best.astype(np.int64)
+        yield int(own), ids[best_at], np.clip(best, -(1 << 63), (1 << 63) - 1).astype(np.int64) if best.dtype == object else best.astype(np.int64)
 
 
 def topk(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
