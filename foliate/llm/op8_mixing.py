@@ -9,9 +9,11 @@ A leaf's share is whole epochs of its documents plus a token-prefix of one more
 documents up to the last whose running total does not pass the rest.  The running total is taken in two steps, over
 buckets of the order and then inside the one bucket in which the prefix ends, so a hot source is never sorted by one task.
 
-Tokens are words ``[^ \\t-\\r]+``.  Null text has 0 tokens and is taken in whole epochs alone, as is a leaf without tokens never; null
-domain, language and source are values of their own.  Unknown weights are 1; weights are whole numbers of at least 0, and a
+Tokens are words ``[^ \\t-\\r]+``.  Null text has 0 tokens and is taken in whole epochs alone, as is a leaf without tokens never.  Null
+and empty domain, language and source are one value, returned as "".  Unknown weights are 1; weights are whole numbers of at least 0, and a
 child of weight 0 gets nothing.  Rows with the same doc_id have the same place in the order and are taken or left together.
+Texts count whole, whatever their length.  An empty table gives no rows.  Extra columns are not read and not returned, so their
+names cannot clash.
 """
 
 from __future__ import annotations
