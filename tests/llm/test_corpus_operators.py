@@ -284,6 +284,33 @@ def test_near_duplicates_in_small_cells(spark, monkeypatch):
     assert got == brute_force_near(rows, 2, 80)
 
 
+def test_near_duplicates_in_a_large_bucket(spark, monkeypatch):
+    """One group of near copies, some far members that meet it in bands, and one group of exact copies, in small blocks and groups."""
+    for name, value in (("CELL", 64), ("CELL_BYTES", 16_384), ("HOT_LEAST", 5)):
+        monkeypatch.setattr(op9_minhash, name, value)
+    rng = np.random.default_rng(8)
+    base, rows = [f"v{x}" for x in range(60)], []
+    for i in range(1200):
+        c = list(base)
+        c[rng.integers(0, 60)] = f"u{i}"
+        rows.append(" ".join(c))
+    far = [" ".join(base[:50] + [f"f{i}x{j}" for j in range(int(rng.integers(8, 14)))]) for i in range(60)]
+    copies = ["exact copy of one text " * 3] * 400
+    table = list(enumerate(rows)) + list(enumerate(far, 2000)) + list(enumerate(copies, 3000))
+    order = rng.permutation(len(table))
+    df = docs(spark, [(table[k][0], table[k][1], None, None) for k in order])
+    got = {r.doc_id: r.component_id for r in op9_minhash.near_duplicates(df, 2, 80).collect()}
+    # copies are linked with each other (55 of 63 shingles or more), so one of them and the others tell the rest
+    few = [*table[:60], *table[1200:1260]]
+    want = brute_force_near(few, 2, 80)
+    assert {got[i] for i in range(1200)} == {0} and {got[i] for i in range(3000, 3400)} == {3000}
+    sets = {i: {tuple(t.split()[j : j + 2]) for j in range(len(t.split()) - 1)} for i, t in table[:1260]}
+    for i in range(2000, 2060):
+        near_group = any(100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in range(1200))
+        assert (got[i] == 0) == (near_group or want[i] == 0)
+        assert near_group or got[i] == want[i]
+
+
 def test_near_duplicates_edge_rows(spark):
     got = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in op9_minhash.near_duplicates(docs(spark, EDGES), 2).collect())
     assert got[(4, 1, 4, True)] == 2 and got[(1, 0, 1, True)] == 1 and got[(None, 5, None, True)] == 1

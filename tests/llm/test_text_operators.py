@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import time
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -14,6 +15,8 @@ import tiktoken
 from foliate.llm import op1_bpe, op2_html, op3_warc, op10_tokens
 from foliate.llm.queries import BPE_RANKS, WORD_PIECES
 
+from ..conftest import SF
+
 ODD = "aabcdeé  \n\t's\x1c\x85\xa0 　日本語ß1٣2.!,😀́ＡZ'llve"
 
 
@@ -93,7 +96,7 @@ def test_attribute_values_of_any_length(quote, fill):
         assert op2_html.extract(page) == TEXT
 
 
-@pytest.mark.parametrize("part", ["<p", "<a x='", '<a x="" ', "<a '> <b \"", "<!", "<?x", "<p <b/", "<a x='\">"])
+@pytest.mark.parametrize("part", ["<p", "<a x='", '<a x="" ', "<a '> <b \"", "<!", "<?x", "<p <b/", "<a x='\">", "<div class=ad>x", "<form><input>x", "<script></SCRIPT>İ"])
 def test_broken_markup_takes_time_in_proportion(part):
     tail = "'>'" if part == "<p <b/" else ""
     began = time.process_time()
@@ -101,6 +104,121 @@ def test_broken_markup_takes_time_in_proportion(part):
     assert time.process_time() - began < 20
 
 
+class PlainPage(HTMLParser):
+    """Lines of a page as (text, characters of links, set apart, in a marked article), None for what begins or ends a part set apart."""
+
+    BLOCKS = set("html body div p h1 h2 h3 ul ol li nav article footer aside section main header table tr form".split())
+    APART = {"nav", "footer", "aside"}
+
+    def __init__(self, page, ad="ad"):
+        super().__init__()
+        self.ad, self.lines, self.parts, self.stack, self.links = ad, [], [], [], 0
+        self.feed(page)
+        self.close()
+        self.line()
+
+    def line(self):
+        text = " ".join("".join(self.parts).split())
+        if text:
+            self.lines.append((text, min(self.links, len(text)), any(x[1] for x in self.stack), any(x[0] == "article" for x in self.stack)))
+        self.parts, self.links = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.parts.append(" ")
+        if tag in ("br", "meta", "img", "input"):
+            return
+        if tag in self.BLOCKS:
+            self.line()
+        if tag in self.BLOCKS and self.stack and self.stack[-1][0] == tag and tag in ("p", "li"):
+            self.stack.pop()
+        elif tag == "p" and any(x[0] == "p" for x in self.stack):
+            while self.stack.pop()[0] != "p":
+                pass
+        apart = tag in self.APART or dict(attrs).get("class") == self.ad
+        if apart:
+            self.lines.append(None)
+        self.stack.append((tag, apart))
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.line()
+        if any(x[0] == tag for x in self.stack):
+            while True:
+                name, apart = self.stack.pop()
+                if apart:
+                    self.lines.append(None)
+                if name == tag:
+                    break
+
+    def handle_data(self, data):
+        if not any(x[0] in ("script", "style", "title", "head") for x in self.stack):
+            self.parts.append(data)
+            if any(x[0] == "a" for x in self.stack):
+                self.links += len(data)
+
+
+def plain_line_blocks(page, width=3, surge=86):
+    """Line-block distribution, each window added up anew."""
+    lines = [x for y in PlainPage(page).lines for x in ([("", 0, False, False)] * 3 if y is None else [y])]
+    marked = any(a and not apart for _, _, apart, a in lines)
+    weight = [0 if apart or (marked and not a) else 87 if marked else 1 for _, _, apart, a in lines]
+    size = [(len(t) - link) * w for (t, link, _, _), w in zip(lines, weight)]
+    block = [sum(size[i : i + width]) for i in range(len(lines))]
+    kept, inside, least = [], False, min(surge, max(block, default=0) - 1)
+    for i, (text, *_) in enumerate(lines):
+        inside = block[i] > 0 and (inside or (size[i] > 0 and block[i] > least))
+        if inside and weight[i] and text:
+            kept.append(text)
+    return kept
+
+
+def test_line_blocks_equal_a_plain_version(spark):
+    rows = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect() if r.html]
+    swaps = [(), (("article", "div"),), (("article", "div"), ("nav", "div"), ("footer", "div"), ('class="ad"', 'class="x1"'))]
+    widths = set()
+    for swap in swaps:
+        for page in rows:
+            for a, b in swap:
+                page = page.replace(a, b) if "=" in a else page.replace(f"<{a}>", f"<{b}>").replace(f"</{a}>", f"</{b}>")
+            found = op2_html.page_lines(page)
+            got = op2_html.kept_lines(found)
+            assert got == plain_line_blocks(page)
+            for width, surge in ((1, 86), (3, 10**9), (1, 10**9)):
+                other = op2_html.kept_lines(found, width, surge)
+                assert other == plain_line_blocks(page, width, surge)
+                widths.add((len(swap), width, surge, other == got))
+    # without the window or the threshold the results of pages without marks are others
+    assert {(k, 1, 86, False) for k in (1, 4)} | {(k, 3, 10**9, False) for k in (0, 1, 4)} <= widths
+
+
+BODY = "<p>First paragraph of a text that is long enough.</p><p>" + "Second paragraph with words. " * 6 + "</p>"
+BODY_TEXT = "First paragraph of a text that is long enough.\n" + ("Second paragraph with words. " * 6).strip()
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><form id='aspnetForm'><input type='hidden' name='a'><article>{BODY}</article></form></body>",
+        f"<body><form id='aspnetForm'><input type='hidden' name='a'><input name='q'>{BODY * 3}</form></body>",
+        f"<body><nav><ul><li><a href='/'>Home</a></ul><div>{BODY}</div></body>",
+        f"<body><nav><ul><li><a href='/'>Home</a></ul><article>{BODY}</article></body>",
+        f"<body><p>İ</p><SCRIPT>var a = '<p>x</p>';</SCRIPT><article>{BODY}</article><STYLE>p</STYLE ><p>after</p></body>",
+        f"<body><article>{BODY}<ul><li><a>one</a><li><a>two</a><li><a>three</a><li><a>four</a></ul></article></body>",
+        f"<body><form>Name <input><select><option>x</select><p>{'Please tell us. ' * 9}</p></form><div>{BODY}</div></body>",
+        f"<body><div>{BODY}</div><ul><li><a>a</a><li><a>b</a><li><a>c</a></ul><div><p>short</p></div></body>",
+    ],
+)
+def test_forms_open_menus_raw_ends_and_link_lists(page):
+    assert op2_html.extract(page) == (BODY_TEXT if BODY * 3 not in page else "\n".join([BODY_TEXT] * 3))
+
+
+def test_scripts_behind_a_letter_that_grows_in_lower_case_take_time_in_proportion():
+    began = time.process_time()
+    assert op2_html.extract("<p>İ</p>" + "<script>a</Script><p>b</p>" * 20_000).count("b") == 20_000
+    assert time.process_time() - began < 20
+
+
 def test_unmarked_pages_by_surge_and_dive():
     words = "word " * 40
     page = f"<div><a>Home</a> <a>News</a></div><ul class='menu'><li>x</li></ul><div><h2>Title</h2><p>{words}</p><p>End.</p></div><div class='sidebar'><p>{words}</p></div><p>tail</p>"
@@ -137,6 +255,35 @@ def test_warc_round_trip(spark):
     assert op3_warc.archive_round_trip(pages(spark, [])).collect() == []
 
 
+def test_warc_files_by_bytes_and_joins_by_page(spark, tmp_path, monkeypatch):
+    """Files of bounded size, revisits the same whether tables are broadcast or not, and one record for each page."""
+    rng = random.Random(2)
+    texts = [f"<p>{k} " + "".join(rng.choice("abcdefgh") for _ in range(200)) for k in range(40)]
+    rows = [(i if i % 17 else None, "u", texts[0] if i % 3 == 0 else texts[rng.randrange(40)] if i % 5 else "short", "d") for i in range(600)]
+    rows += [(6, "again", texts[0], "d"), (700, "long", "".join(rng.choice("abcdefgh ") for _ in range(3_000_000)), "d")]
+    df = pages(spark, rows)
+    want = sorted(map(repr, op3_warc.with_references(df).drop("payload").collect()))
+    for name, value in (("BROADCAST_ROWS", 3), ("HOT_LEAST", 50)):
+        monkeypatch.setattr(op3_warc, name, value)
+    shuffled = op3_warc.with_references(df)
+    assert sorted(map(repr, shuffled.drop("payload").collect())) == want
+    op3_warc.write_warc(shuffled, str(tmp_path / "a"), file_bytes=20_000)
+    sizes = sorted(f.stat().st_size for f in (tmp_path / "a").rglob("*.txt"))
+    assert len(sizes) > 5 and sizes[-2] < 24_000
+    back = op3_warc.read_warc(spark, str(tmp_path / "a")).collect()
+    assert {r.kind for r in back} == {"record"} and len(back) == len(rows)
+    got = op3_warc.archived_pages(df)
+    assert got.count() == len(rows) and got.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    first = min(i for i, _, t, _ in rows if t == texts[0] and i is not None)
+    assert {r.refers_to for r in got.collect() if r.payload_digest == hashlib.sha256(texts[0].encode()).hexdigest() and r.page_id != first} == {first}
+
+
+def test_warc_that_loses_a_record_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(op3_warc, "read_warc", lambda s, path, f=op3_warc.read_warc: f(s, path).filter("page_id <> 2"))
+    with pytest.raises(RuntimeError, match="3 pages were archived and 2"):
+        op3_warc.archived_pages(pages(spark, [(k, "u", "text", "d") for k in (1, 2, 3)]))
+
+
 def records(n):
     return [op3_warc.build_record(k, f"http://{k}", f"payload {k} WARC/1.1 {'z' * k}".encode(), "00", None) for k in range(n)]
 
