@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections import OrderedDict
+from collections import OrderedDict, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -167,8 +167,11 @@ def _count(bits: int):
     return run
 
 
-def _array(column: pa.ChunkedArray, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_buffer() for x in column), dtype)
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts as one array; they are let go."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
 
 
 def _by_key(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -180,10 +183,18 @@ def _by_key(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 def _merge_pairs(path: str, bits: int):
     """One shard of pairs: write its arrays; return packed sums by word and the counts of counts."""
 
-    def run(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        v = np.repeat(_array(table.column("v"), np.uint64), _array(table.column("runs"), np.uint32))
-        w, c = _array(table.column("w"), np.uint64), _array(table.column("c"), np.uint32)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list, list]] = defaultdict(lambda: ([], [], []))  # a partition has one shard
+        for batch in batches:
+            for shard, v, runs, w, c in zip(*batch.columns, strict=True):
+                to = held[shard.as_py()]
+                to[0].append(np.repeat(np.frombuffer(v.as_buffer(), np.uint64), np.frombuffer(runs.as_buffer(), np.uint32)))
+                to[1].append(np.frombuffer(w.as_buffer(), np.uint64))
+                to[2].append(np.frombuffer(c.as_buffer(), np.uint32))
+        for shard, parts in held.items():
+            yield merge(shard, *map(_joined, parts))
+
+    def merge(shard: int, v: np.ndarray, w: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
         hashes = pair_hash(v, w)
         part = ((hashes >> U64(64 - bits - PARTS_BITS)) & U64(PARTS - 1)).astype(np.uint8)
         files: dict[str, list[bytes]] = {"hash": [], "count": [], "many": []}
@@ -206,14 +217,14 @@ def _merge_pairs(path: str, bits: int):
         for name, pieces in files.items():
             _put(f"{path}/pair-{shard}.{name}", b"".join(pieces))
         files.clear()
-        rows = [(0, "t", b"", *(counts[i : i + 1].tobytes() for i in range(4)))]
+        rows = [(shard, "t", b"", *(counts[i : i + 1].tobytes() for i in range(4)))]
         for kind, found in (("w", before), ("v", after)):
             sums = _by_key(*map(np.concatenate, zip(*found, strict=True)))
             for at, a, b in _segments(sums[0], bits):
                 values = [x[a:b].astype(np.uint64).tobytes() if kind == "w" and k == 0 else x[a:b].astype(np.uint32).tobytes() for k, x in enumerate(sums[1:])]
                 rows.append((at, kind, sums[0][a:b].tobytes(), *values, *[b""] * (4 - len(values))))
         types = [pa.int32(), pa.string()] + [pa.binary()] * 5
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["shard", "kind", "h", "a", "b", "c", "d"])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["shard", "kind", "h", "a", "b", "c", "d"])
 
     return run
 
@@ -221,25 +232,37 @@ def _merge_pairs(path: str, bits: int):
 def _merge_words(path: str):
     """One shard of words: write its arrays; return the totals."""
 
-    def run(table: pa.Table) -> pa.Table:
-        import pyarrow.compute as pc
-
-        shard = table.column("shard")[0].as_py()
-        part = {k: table.filter(pc.equal(table.column("kind"), k)) for k in "twv"}
-        w, v = _array(part["w"].column("h"), np.uint64), _array(part["v"].column("h"), np.uint64)
-        zero = lambda x: np.zeros(len(x), np.uint64)
-        values = [np.concatenate((_array(part["w"].column("a"), np.uint64), zero(v))), np.concatenate((_array(part["w"].column("b"), np.uint32), zero(v)))]
-        values += [np.concatenate((zero(w), _array(part["v"].column(c), np.uint32))) for c in "abc"]
-        h, raw, before, *after = _by_key(np.concatenate((w, v)), *values)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[list[np.ndarray]]] = defaultdict(lambda: [[] for _ in range(6)])
+        totals: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(4, np.uint64))
+        for batch in batches:
+            for row in batch.to_pylist():
+                part = [row[x] for x in "abcd"]
+                if row["kind"] == "t":
+                    totals[row["shard"]] += np.array([np.frombuffer(x, np.uint64)[0] for x in part], np.uint64)
+                    continue
+                keys = np.frombuffer(row["h"], np.uint64)
+                none = np.zeros(len(keys), np.uint32)
+                if row["kind"] == "w":
+                    found = [np.frombuffer(part[0], np.uint64), np.frombuffer(part[1], np.uint32), none, none, none]
+                else:
+                    found = [none.astype(np.uint64), none, *(np.frombuffer(x, np.uint32) for x in part[:3])]
+                for to, x in zip(held[row["shard"]], (keys, *found), strict=True):
+                    to.append(x)
+        for shard in sorted({*held, *totals}):
+            parts = held[shard] if shard in held else [[np.zeros(0, np.uint64)] for _ in range(6)]
+            yield merge(shard, totals[shard], *map(_joined, parts))
+
+    def merge(shard: int, t: np.ndarray, keys: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+        h, raw, before, *after = _by_key(keys, *values)
         out = np.zeros(len(h), WORD)
         for name, x in zip(WORD.names, (raw, before, *after), strict=True):
             out[name] = x
         _put(f"{path}/word-{shard}.hash", h.tobytes())
         _put(f"{path}/word-{shard}.stat", out.tobytes())
-        t = [int(_array(part["t"].column(c), np.uint64).sum()) for c in "abcd"]
         m = np.bincount(np.minimum(before, 5).astype(np.int64), minlength=6)[1:5].tolist()
-        row = [int(raw.sum()), int((raw > 0).sum()), int(before.sum()), *t, *m]
-        return pa.table([pa.array([x], pa.int64()) for x in row], names=STATS)
+        row = [int(raw.sum()), int((raw > 0).sum()), int(before.sum()), *map(int, t), *m]
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], names=STATS)
 
     return run
 
@@ -252,8 +275,9 @@ def fit(rows: DataFrame, text: str = "text") -> Model:
     bits = max(4, int(np.ceil(np.log2(max(size / SHARD_BYTES, 1)))))
     path = fresh_path(spark, "ngrams")
     pairs = rows.select(F.col(text).cast("string").alias("text")).mapInArrow(_count(bits), PAIRS)
-    sums = pairs.groupBy("shard").applyInArrow(_merge_pairs(path, bits), SUMS)
-    totals = sums.groupBy("shard").applyInArrow(_merge_words(path), ", ".join(f"{s} long" for s in STATS))
+    # a partition is a shard, read as it comes: what is packed is neither sorted nor grouped in the JVM
+    sums = pairs.repartitionById(1 << bits, F.col("shard")).mapInArrow(_merge_pairs(path, bits), SUMS)
+    totals = sums.repartitionById(1 << bits, F.col("shard")).mapInArrow(_merge_words(path), ", ".join(f"{s} long" for s in STATS))
     got = totals.agg(*(F.sum(s).alias(s) for s in STATS)).first()
     return Model(path, bits, {s: got[s] or 0 for s in STATS})
 
