@@ -60,6 +60,7 @@ def _exact(queries: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def threshold_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query (its id, ids of the best k, their scores); components are whole numbers in 64 bits."""
     queries, rows = _exact(queries, rows)
+    within = (lambda x: np.clip(x, -(1 << 63), (1 << 63) - 1)) if rows.dtype == object else (lambda x: x)
     by_id = np.argsort(ids, kind="stable")
     rows, ids = rows[by_id], ids[by_id]
     n, width = rows.shape
@@ -81,7 +82,7 @@ def threshold_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
                 met[order[:depth, down].ravel()] = True
                 fresh = np.flatnonzero(met & ~seen)
             seen[fresh] = True
-            scores = rows[fresh] @ q
+            scores = within(rows[fresh] @ q)
             ok = ids[fresh] != own
             if len(best) == k:
                 ok &= scores >= best[-1]
@@ -92,10 +93,10 @@ def threshold_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
             if depth >= n:
                 break
             bound = q[up] @ values[n - depth, up] + q[down] @ values[depth - 1, down]
-            if len(best) == k and bound < best[-1]:
+            if len(best) == k and within(bound) < best[-1]:
                 break
             depth = n if seen.sum() * 2 > n else depth * 4
-        yield int(own), ids[best_at], np.clip(best, -(1 << 63), (1 << 63) - 1).astype(np.int64) if best.dtype == object else best.astype(np.int64)
+        yield int(own), ids[best_at], best.astype(np.int64)
 
 
 def topk(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0, shard: int = SHARD, block: int = BLOCK) -> DataFrame:

@@ -3,19 +3,24 @@
 1. Each text becomes its set of ``k``-word shingles (64-bit hashes); with fewer words the whole sequence is one shingle, without
    words the set is empty.  240 universal hash functions give a signature, the low
    16 bits of their minima.
-2. Equal sets are one class, whose node is its least doc_id; from here on work is on classes.
+2. Equal sets are one class, whose node is its least doc_id; from here on work is on classes.  Members of classes with more than
+   one in ``HOT_SHARE`` of all rows learn their node from a broadcast, which thus has at most ``HOT_SHARE`` rows.
 3. Signatures are cut into bands; classes that share a band meet in a bucket.  A bucket's members are compared with its least
-   node: first by signature, then on full sets.  Verified links make components (large-star, small-star).
-4. Only buckets that still hold several components go on.  They are cut into a grid of cells of bounded size; a cell compares
-   signatures of members of different components, each pair in the first band where it meets.  Members with a likely
-   partner get their full sets, and the cell verifies all its likely pairs by itself and returns the links that join its
-   components.  Pairs are never rows here, so a group of n near copies costs rows in proportion to n.
+   node: first by signature, then on full sets, in groups of bounded bytes that hold the least node's set once.
+   Verified links make components (large-star, small-star).
+4. Only buckets that still hold several components go on.  A bucket's largest component and the rest of it are dealt into blocks of
+   bounded rows and bytes; a cell is a block of the rest and a block of either, so members of the largest component never meet each
+   other.  A cell compares signatures of members of different components, each pair in the first band where it meets.  Members
+   with a likely partner get their full sets, and the cell verifies all its likely pairs by itself and returns the links that join
+   its components.  Pairs are never rows here: n near copies that are mostly one component by then cost n rows a bucket and those
+   of the rest once a block; r members outside the largest component cost r * r / CELL rows.
 
 No bucket, component or pair is dropped or capped: a link is lost only if its signatures meet in no band (at similarity
 0.8 with 40 bands of 6: 5e-6) or agree in fewer than ``likely`` of the hash functions.
 
 Null or empty texts, and rows without doc_id, link with nothing: their component is their own doc_id.  Rows that repeat a
-doc_id are one node; each keeps its own n_shingles.  Copies and ties go to the least doc_id.  Empty tables give no rows.
+doc_id are one node; each keeps its own n_shingles.  Copies and ties go to the least doc_id.  Empty tables give no rows.  Texts
+of any length are taken whole.  Only the key and the text are read: extra columns do not matter and are not returned.
 """
 
 from __future__ import annotations
@@ -33,7 +38,9 @@ from .store import bounded_batches, broadcast_if_small, discard, hold, materiali
 from .vector import U64, pair_hash, slices, words
 
 HASHES, BAND = 240, 6
-CELL = 2048
+#: Rows of a block, pairs of a group, and bytes of the full sets of either.
+CELL, PAIRS, CELL_BYTES = 512, 256, 16 << 20
+HOT_SHARE, HOT_LEAST = 2_000, 100
 _rng = np.random.default_rng(77)
 _MULTIPLIERS = _rng.integers(1, 1 << 63, (HASHES, 1), dtype=np.uint64) * U64(2) + U64(1)
 _OFFSETS = _rng.integers(0, 1 << 63, (HASHES, 1), dtype=np.uint64)
@@ -121,19 +128,28 @@ def _sets_of(nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) that are links on their full sets."""
+    """Those pairs (a, b) that are links on their full sets.  A group is ``a`` and some of its partners, by bytes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                ok.append(bool(len(p) and len(q)) and bool(_linked(p, q, np.array([0]), percent)[0]))
-            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
-
-    left = sets.select(F.col("node").alias("a"), F.col("members").alias("x")).join(broadcast_if_small(pairs), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    def run(table: pa.Table) -> pa.Table:
+        first, node = table.column("first").to_numpy(), table.column("b").to_numpy()
+        found = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("members").combine_chunks()]
+        rest = np.flatnonzero(~first)
+        ok = np.zeros(len(rest), bool)
+        if len(rest):
+            lengths = np.array([len(found[y]) for y in rest])
+            many, starts = np.concatenate([found[y] for y in rest]), np.cumsum(lengths) - lengths
+            for x in np.flatnonzero(first):  # several where rows repeat a doc_id
+                ok |= _linked(found[x], many, starts, percent)
+        b = np.unique(node[rest[ok]])
+        return pa.table({"a": pa.array(np.full(len(b), table.column("a")[0].as_py()), pa.int64()), "b": pa.array(b, pa.int64())})
+
+    size = sets.groupBy(F.col("node").alias("n")).agg(F.sum(F.octet_length("members")).alias("bytes"))
+    groups = pairs.join(size, F.col("b") == F.col("n")).groupBy(F.col("a").alias("l")).agg(F.greatest(F.ceil(F.sum("bytes") / CELL_BYTES), F.ceil(F.count("*") / PAIRS)).cast("int").alias("groups"))
+    groups = broadcast_if_small(hold(groups))
+    rest = sets.join(broadcast_if_small(pairs), F.col("node") == F.col("b")).join(groups, F.col("a") == F.col("l"))
+    rest = rest.select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part"), "b", F.lit(False).alias("first"), "members")
+    leaders = sets.join(groups, F.col("node") == F.col("l")).select(F.col("node").alias("a"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.col("node").alias("b"), F.lit(True).alias("first"), "members")
+    return rest.unionByName(leaders).groupBy("a", "part").applyInArrow(run, "a long, b long").distinct()
 
 
 def _linked(one: np.ndarray, many: np.ndarray, starts: np.ndarray, percent: int) -> np.ndarray:
@@ -145,10 +161,20 @@ def _linked(one: np.ndarray, many: np.ndarray, starts: np.ndarray, percent: int)
 
 
 def _grid(buckets: DataFrame) -> DataFrame:
-    """Deal the rows of each band into a grid of ceil(n / CELL) rows and columns of cells; a cell holds two blocks."""
-    size = buckets.groupBy(F.col("band").alias("g")).agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
-    dealt = buckets.join(size, F.col("band") == F.col("g")).withColumn("block", F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int"))
-    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    """Deal the rows (band, turn, node, root, size) of each band into cells; a cell holds two blocks.
+
+    Blocks from 0 on are of the rest of a bucket, those behind them of its largest component, which has no cells of its own.
+    """
+    count = [F.count("*").alias("n"), F.sum(F.col("size") * 8).alias("bytes")]
+    blocks = lambda n, size: F.greatest(F.ceil(n / CELL), F.ceil(size / CELL_BYTES)).cast("int")
+    by_root = buckets.groupBy(F.col("band").alias("g"), "root").agg(*count)
+    stat = by_root.groupBy("g").agg(F.max(F.struct("n", "root", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    stat = stat.select("g", F.col("top.root").alias("top"), blocks(F.col("top.n"), F.col("top.bytes")).alias("p"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("q"))
+    place = F.xxhash64("node", "band")
+    block = F.when(F.col("root") == F.col("top"), F.col("q") + F.pmod(place, F.col("p"))).otherwise(F.pmod(place, F.col("q"))).cast("int")
+    dealt = buckets.join(stat, F.col("band") == F.col("g")).withColumn("block", block)
+    others = F.when(F.col("root") == F.col("top"), F.col("q")).otherwise(F.col("q") + F.col("p"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
     return cells.select("band", "turn", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root")
 
 
@@ -207,6 +233,16 @@ def _cell_links(cells: DataFrame, likely: int, percent: int) -> DataFrame:
     return cells.groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
+def _members(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, node of rows (doc_id, n_shingles, set_hash); a large class is not shuffled into one task."""
+    least = max((classes.agg(F.sum("copies")).first()[0] or 0) // HOT_SHARE, HOT_LEAST)
+    node = classes.select(F.col("set_hash").alias("same"), "node", "copies")
+    tagged = rows.join(F.broadcast(node.filter(F.col("copies") > least).drop("copies")), F.col("set_hash") == F.col("same"), "left")
+    rest = tagged.filter("same is null").select("doc_id", "n_shingles", "set_hash").join(node.filter(F.col("copies") <= least), F.col("set_hash") == F.col("same"))
+    names = ["doc_id", "n_shingles", "node"]
+    return tagged.filter("same is not null").select(*names).unionByName(rest.select(*names))
+
+
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", likely: int = 161) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row for each row of ``df``.
 
@@ -217,19 +253,16 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, key: str = "do
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = hold(_signed(docs, k))
     usable = signed.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
-    classes = hold(usable.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")))
-    member = materialise(
-        usable.select("doc_id", "n_shingles", "set_hash").join(classes.select(F.col("set_hash").alias("same"), "node"), F.col("set_hash") == F.col("same")).select("doc_id", "n_shingles", "node"),
-        "members",
-    )
+    classes = hold(usable.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("size"), F.count("*").alias("copies")))
+    member = materialise(_members(usable.select("doc_id", "n_shingles", "set_hash"), classes), "members")
     alone = materialise(signed.filter(F.col("set_hash").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")), "alone")
     signed.unpersist()
-    signatures = classes.select("node", "signature")
+    signatures = classes.select("node", "signature", "size")
     width = 2 * BAND
     cut = F.transform(F.sequence(F.lit(0), F.lit(HASHES // BAND - 1)), lambda i: F.xxhash64(i, F.col("signature").substr(i * width + 1, F.lit(width))))
-    bands = signatures.select("node", F.posexplode(cut).alias("turn", "band"))
+    bands = signatures.select("node", "size", F.posexplode(cut).alias("turn", "band"))
     leaders = bands.groupBy(F.col("band").alias("g")).agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last")
-    shared = hold(bands.join(leaders, F.col("band") == F.col("g")).select("band", "turn", "node", "leader"))
+    shared = hold(bands.join(leaders, F.col("band") == F.col("g")).select("band", "turn", "node", "size", "leader"))
 
     pairs = shared.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     likely_pairs = materialise(_alike(pairs, signatures, likely), "likely-pairs")
@@ -243,17 +276,18 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, key: str = "do
     links = links.unionByName(same_id)
 
     roots = materialise(components(links, "a", "b"), "roots")
-    placed = shared.select("band", "turn", "node").join(roots.withColumnRenamed("node", "w"), F.col("node") == F.col("w"), "left").select("band", "turn", "node", F.coalesce("root", "node").alias("root"))
+    placed = shared.select("band", "turn", "node", "size").join(roots.withColumnRenamed("node", "w"), F.col("node") == F.col("w"), "left").select("band", "turn", "node", "size", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy(F.col("band").alias("g")).agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s")
     signature_of = signatures.select(F.col("node").alias("w"), "signature")
-    cells = _grid(placed.join(mixed, F.col("band") == F.col("g")).select("band", "turn", "node", "root"))
+    left = hold(placed.join(mixed, F.col("band") == F.col("g")).select("band", "turn", "node", "size", "root"))
+    cells = _grid(left)
     rows = hold(_with_candidates(cells.join(signature_of, F.col("node") == F.col("w")).drop("w"), likely))
     if not rows.isEmpty():
         sets = _sets_of(rows.select("node"), docs, k)
         whole = rows.join(signature_of, F.col("node") == F.col("w")).drop("w").join(sets, "node")
         links = links.unionByName(materialise(_cell_links(whole, likely, percent), "cell-links"))
         sets.unpersist()
-    for table in (classes, shared, rows):
+    for table in (classes, shared, left, rows):
         table.unpersist()
     roots = components(links, "a", "b").withColumnRenamed("node", "w")
     linked = member.join(roots, F.col("node") == F.col("w"), "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("component_id"))

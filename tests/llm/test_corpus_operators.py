@@ -319,7 +319,9 @@ def test_near_duplicates_edge_rows(spark):
     assert op9_minhash.near_duplicates(docs(spark, []), 2).collect() == []
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("hot", [100, 3])
+def test_components_of_paths_and_stars(spark, monkeypatch, hot):
+    monkeypatch.setattr(components, "HOT_LEAST", hot)
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 140)}, 200: 200, 201: 200}
@@ -345,6 +347,18 @@ def test_topk_with_ties_and_odd_vectors(spark):
     assert sorted((r.query_id, r.vec_id) for r in op6_topk.topk(few, F.lit(True)).collect()) == [(1, 2), (2, 1)]
 
 
+def test_topk_of_large_components_is_exact(spark):
+    for step in (2**18, 2**24 + 1, 2**45 + 1):  # doubles, 64 bits, and beyond
+        rng = np.random.default_rng(step % 1000)
+        rows = [(int(i), [int(x) * step + int(y) for x, y in zip(rng.integers(-3, 4, 3), rng.integers(0, 3, 3))]) for i in range(40)]
+        df = spark.createDataFrame([(i, [x / 256 for x in v], i) for i, v in rows], "vec_id long, embedding array<double>, score long")
+        rows = [(i, [math.floor(256 * (x / 256)) for x in v]) for i, v in rows]
+        got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in op6_topk.topk(df, F.col("vec_id") < 5, k=4, shard=16, block=2).collect()}
+        for q, x in rows[:5]:
+            scored = [(max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(x, y)))), -i) for i, y in rows if i != q]
+            assert [got[q, k] for k in range(1, 5)] == [(-i, s) for s, i in sorted(scored, reverse=True)[:4]]
+
+
 def test_threshold_stops_early_on_peaked_vectors():
     rows = np.eye(400)[:, :8] * 256
     rows[:200] = 0
