@@ -9,6 +9,7 @@ import unicodedata
 from collections.abc import Iterable
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,20 +119,80 @@ def nearest_line(phrase: str, lines: list[str], cutoff: float = FUZZY_CUTOFF) ->
     return best and best[1]
 
 
+class NearLines:
+    """Finds the lines that are like any of some phrases.  Lengths and counts of characters rule out nearly all pairs of a line and a
+    phrase for a whole batch at once; what is left is compared in full."""
+
+    BINS = 64
+
+    def __init__(self, phrases: list[str], cutoff: float = FUZZY_CUTOFF):
+        self.phrases, self.cutoff = phrases, cutoff
+        self.counts = self._counts(phrases)
+        self.longest = longest_near(phrases, cutoff)
+
+    def _counts(self, texts: list[str]) -> np.ndarray:
+        """How often characters of each bin occur in each text."""
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        return np.bincount(owner * self.BINS + points % self.BINS, minlength=len(texts) * self.BINS).reshape(-1, self.BINS).astype(np.int32)
+
+    def match(self, lines: Iterable[str]) -> dict[str, list[tuple[str, float]]]:
+        """line -> (phrase, likeness) of the phrases that it is like, at or above the cutoff."""
+        rows = sorted({x for x in lines if len(x) <= self.longest}, key=len)
+        found: dict[str, list[tuple[str, float]]] = {}
+        if not rows:
+            return found
+        counts, sizes = self._counts(rows), np.array([len(x) for x in rows])
+        matcher = difflib.SequenceMatcher()
+        for phrase, have in zip(self.phrases, self.counts, strict=True):
+            n = len(phrase)
+            # 2 * min(a, n) >= cutoff * (a + n) bounds the length of a line on both sides; the ends are tested below
+            a, b = np.searchsorted(sizes, [int(self.cutoff * n / (2 - self.cutoff)), int((2 - self.cutoff) * n / self.cutoff) + 1], side="left")
+            least = self.cutoff * (sizes[a:b] + n) - 1e-9
+            both = np.minimum(counts[a:b], have).sum(axis=1)
+            likely = np.flatnonzero((2.0 * np.minimum(sizes[a:b], n) >= least) & (2.0 * both >= least))
+            if len(likely):
+                matcher.set_seq2(phrase)
+                for k in (likely + a).tolist():
+                    matcher.set_seq1(rows[k])
+                    if matcher.quick_ratio() >= self.cutoff and (ratio := matcher.ratio()) >= self.cutoff:
+                        found.setdefault(rows[k], []).append((phrase, ratio))
+        return found
+
+
+def longest_near(phrases: list[str], cutoff: float = FUZZY_CUTOFF) -> int:
+    """The length beyond which a line is like none of the phrases."""
+    return int((2 - cutoff) * max(map(len, phrases), default=0) / cutoff) + 1
+
+
 def fuzzy_lines(phrases: list[str]):
-    """A pandas UDF (lines, fulltext) -> map of phrase to nearest line, for normalised phrases not in the page as they are."""
+    """(lines, fulltext) -> map of phrase to nearest line, for normalised phrases not in the page as they are.
+
+    Equal likeness goes to the larger line.  Only lines that are short enough to be like a phrase leave the JVM.
+    """
     wanted = list(dict.fromkeys(phrases))
+    longest = longest_near(wanted)
+    kept: list[NearLines] = []
 
     @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-    def run(lines: pd.Series, fulltext: pd.Series) -> pd.Series:
+    def run(lines: pd.Series) -> pd.Series:
+        if not kept:
+            kept.append(NearLines(wanted))
+        near = kept[0].match(x for page in lines if page is not None for x in page)
         out = []
-        for page, full in zip(lines, fulltext, strict=True):
-            rows = [] if page is None else list(page)
-            hits = {p: nearest_line(p, rows) for p in wanted if p not in (full or "")}
-            out.append({p: x for p, x in hits.items() if x is not None})
+        for page in lines:
+            best: dict[str, tuple[float, str]] = {}
+            for line in () if page is None or not near else page:
+                for phrase, ratio in near.get(line, ()):
+                    best[phrase] = max(best.get(phrase, (ratio, line)), (ratio, line))
+            out.append({phrase: line for phrase, (_, line) in best.items()})
         return pd.Series(out)
 
-    return run
+    def column(lines: Column | str, fulltext: Column | str) -> Column:
+        short = F.filter(lines, lambda x: F.length(x) <= longest)
+        return F.map_filter(run(short), lambda phrase, _: ~F.contains(fulltext if isinstance(fulltext, Column) else F.col(fulltext), phrase))
+
+    return column
 
 
 def squash_dashes(c: Column) -> Column:

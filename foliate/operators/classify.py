@@ -103,3 +103,30 @@ def candidates(verdicts: DataFrame, types: Sequence[str]) -> DataFrame:
     every = F.array(*map(F.lit, [*types, "OTHER"]))
     offered = F.when(F.size("type_conflict") > 0, F.col("type_conflict")).otherwise(every)
     return verdicts.filter("grade = 'DEFER_LLM' or grade = 'DEFER_VLM'").withColumn("candidates", offered).withColumn("reason", F.when(F.size("type_conflict") > 0, "type_conflict").when(F.col("grade") == "DEFER_VLM", "no_text").otherwise("weak_signal"))
+
+
+def model_inputs(verdicts: DataFrame, scored: DataFrame, policies: Sequence[Policy], keys: Sequence[str]) -> DataFrame:
+    """keys, candidate_types, reason, signal_summary, subtype_options of the pages that go to the text model.
+
+    ``verdicts`` and ``scored`` (the rows of ``scores``) are written tables: filters on them must not reach into the rules.  The summary is JSON by type, without types that have no signal and without empty values.
+    """
+    some = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
+    one = F.struct("type", F.struct("grade", some("decisive"), some("supportive"), some("identities")).alias("s"))
+    summary = scored.filter("grade <> 'NO_SIGNAL'").groupBy(*keys).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(one)))).alias("signal_summary"))
+    every = ", ".join([*sorted(p.type for p in policies), "OTHER"])
+    subtypes = ", ".join(sorted({n for p in policies for n in p.subtype_names()}))
+    due = verdicts.filter("rule_grade = 'DEFER_LLM'").join(summary, list(keys), "left")
+    clash = F.size("type_conflict") > 0
+    return due.select(
+        *keys, F.when(clash, F.array_join("type_conflict", ", ")).otherwise(F.lit(every)).alias("candidate_types"), F.when(clash, "TYPE_CONFLICT").otherwise(F.col("rule_grade")).alias("reason"),
+        F.coalesce("signal_summary", F.lit('{"note":"no rule signals"}')).alias("signal_summary"), F.lit(subtypes or "(none)").alias("subtype_options"),
+    )
+
+
+def single_candidates(rows: DataFrame, policy: Policy, types: Sequence[str], no_signal: bool = False) -> DataFrame:
+    """Rows of ``single`` that go to the model, with the types to offer: all types for a page without signals, else this type, its
+    rivals with a rule grade, and OTHER."""
+    due = F.col("grade").isin("DEFER_LLM", *(["NO_SIGNAL"] if no_signal else []))
+    some = F.array_sort(F.array_union(F.array(F.lit(policy.type)), F.transform("rivals", lambda r: r["type"])))
+    every = F.array(*map(F.lit, [*sorted(types), "OTHER"]))
+    return rows.filter(due).withColumn("candidates", F.when(F.col("grade") == "NO_SIGNAL", every).otherwise(F.concat(some, F.array(F.lit("OTHER")))))

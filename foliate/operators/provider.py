@@ -8,9 +8,12 @@ import time
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliate.sources.tables import materialise
+
 #: Price of a million tokens.
 PROMPT_PRICE, COMPLETION_PRICE = 0.75, 4.50
 CACHE = "key string, parsed string, prompt_tokens long, completion_tokens long, model string"
@@ -21,9 +24,8 @@ class ProviderDisabled(RuntimeError):
 
 
 def render(template: str, variables: Mapping[str, Column]) -> Column:
-    """Fill ``<<name>>`` places of the template's body, in the order of the variables; a leading comment is not sent."""
-    body = template.split("-->", 1)[1].lstrip() if template.lstrip().startswith("<!--") and "-->" in template else template
-    out = F.lit(body)
+    """Fill ``<<name>>`` places of the whole template, one variable after another; null values are empty."""
+    out = F.lit(template)
     for name, value in variables.items():
         out = F.replace(out, F.lit(f"<<{name}>>"), F.coalesce(value.cast("string"), F.lit("")))
     return out
@@ -36,20 +38,22 @@ def cache_key(template: str, model: str, rendered: Column, image_sha: Column | N
     return F.sha2(F.concat_ws(":", *parts, rendered).cast("binary"), 256)
 
 
-def complete(requests: DataFrame, cache: DataFrame, call: Callable[[str], tuple[str, int, int]] | None, model: str, retries: int = 2, pause: float = 2.0) -> tuple[DataFrame, DataFrame]:
-    """Answers for requests (key, prompt) and the new cache rows; equal requests are sent once, cached ones never.
+def complete(requests: DataFrame, cache: DataFrame, call: Callable[..., tuple[str, int, int]] | None, model: str, retries: int = 2, pause: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """Answers for requests (key, prompt, and image for vision) and the new cache rows; equal requests are sent once, cached ones never.
 
-    ``call`` returns (text, prompt tokens, completion tokens).  An answer that is not JSON is asked for once more, an error of the
-    connection ``retries`` times.
+    ``call`` takes the prompt, and the image if there is one, and returns (text, prompt tokens, completion tokens).  An answer to
+    a text that is not JSON is asked for once more, an error of the connection ``retries`` times.
     """
     if call is None:
         raise ProviderDisabled("no provider")
-    due = requests.select("key", "prompt").dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
+    vision = "image" in requests.columns
+    asked = ["key", "prompt", "image"] if vision else ["key", "prompt"]
+    due = requests.select(*asked).dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
 
-    def ask(prompt: str) -> tuple[str, int, int]:
+    def ask(*what) -> tuple[str, int, int]:
         for attempt in range(retries + 1):
             try:
-                return call(prompt)
+                return call(*what)
             except (ConnectionError, TimeoutError):
                 if attempt == retries:
                     raise
@@ -59,12 +63,14 @@ def complete(requests: DataFrame, cache: DataFrame, call: Callable[[str], tuple[
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
-            for key, prompt in zip(pdf["key"], pdf["prompt"], strict=True):
-                text, p, c = ask(prompt)
+            for key, *what in pdf[asked].itertuples(index=False):
+                text, p, c = ask(*what)
                 try:
                     json.loads(text)
                 except ValueError:
-                    text, p2, c2 = ask(prompt)
+                    if vision:
+                        raise
+                    text, p2, c2 = ask(*what)
                     json.loads(text)
                     p, c = p + p2, c + c2
                 out.append((key, text, p, c, model))
@@ -74,6 +80,30 @@ def complete(requests: DataFrame, cache: DataFrame, call: Callable[[str], tuple[
     return requests.join(cache.unionByName(new), "key", "left"), new
 
 
+def answered(requests: DataFrame, path: str, call: Callable[..., tuple[str, int, int]], model: str, **how) -> tuple[DataFrame, DataFrame]:
+    """Requests with their answers, and the calls (key, cached, tokens), over a cache table at ``path``.
+
+    New answers are appended to the table before they are read, so no model is asked again for them, whatever is lost later.
+    """
+    spark = requests.sparkSession
+    try:
+        cache = spark.read.schema(CACHE).parquet(path)
+    except AnalysisException:
+        cache = spark.createDataFrame([], CACHE)
+    known = materialise(cache.select("key"), "cached-keys")
+    _, new = complete(requests, cache, call, model, **how)
+    new.write.mode("append").parquet(path)
+    whole = spark.read.schema(CACHE).parquet(path).dropDuplicates(["key"])
+    rows = requests.join(whole, "key", "left")
+    calls = requests.select("key").distinct().join(whole, "key").join(known.withColumn("cached", F.lit(True)).distinct(), "key", "left")
+    return rows, calls.select("key", F.coalesce("cached", F.lit(False)).alias("cached"), "prompt_tokens", "completion_tokens")
+
+
+def data_uri(image: Column, kind: str = "image/png") -> Column:
+    """An image as a base64 data URI, as services take it."""
+    return F.concat(F.lit(f"data:{kind};base64,"), F.base64(image))
+
+
 def usage(calls: DataFrame) -> DataFrame:
     """stage, calls, cache_hits and tokens; cached calls cost nothing."""
     paid = ~F.col("cached")

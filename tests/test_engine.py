@@ -303,7 +303,7 @@ def test_provider_asks_once_and_caches(spark, tmp_path):
     with pytest.raises(provider.ProviderDisabled):
         provider.complete(ask, cache, None, "m")
     filled = spark.range(1).select(provider.render("<!-- <<x>> -->\nA <<x>> B", {"x": F.lit("1")}).alias("p")).first().p
-    assert filled == "A 1 B"
+    assert filled == "<!-- 1 -->\nA 1 B"
 
 
 def test_answer_key_takes_the_last_of_equal_pages(spark):
