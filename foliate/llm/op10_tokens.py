@@ -6,7 +6,8 @@ its string are popped, and the number of these pieces.  A word is then read once
 node's popped pieces and follow its link.  No piece is built, and the distinct words of a slice walk in step as arrays.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; every single byte must be a piece, so any word has a split.  Null and empty
-texts have 0 words and 0 tokens; rows pass one by one, repeated or not.
+texts have 0 words and 0 tokens; rows pass one by one, repeated or not, and an empty table gives none.  Texts of any length count
+whole.  Only the key and the text are read, so extra columns do not matter and are not returned.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ least rank, the matrix loses one column, and rows without a pair leave it.  Rank
 Pieces over ``LONG`` bytes, for which a column a round would cost the square of their length, are merged in the same
 order from a heap.
 
-Nulls are empty texts (no ids).  Any text is encoded whole; special tokens are not recognised.  Repeated rows and extra
-columns are kept as they are: one row out for each row in.
+Nulls are empty texts (no ids).  Any text is encoded whole, whatever its length; special tokens are not recognised.  Repeated rows
+are kept as they are: one row out for each row in, none for an empty table.  ``encode`` and ``decode`` keep extra columns, but replace
+those that have the names of their results; ``round_trip_digests`` reads and returns the key and nothing else.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from .vector import HashTable, U64, buckets, gather, slices
 
 LONG = 256
 NONE = np.int32(np.iinfo(np.int32).max)
-#: Distinct units whose ids a worker remembers before it starts afresh.
-REMEMBERED = 500_000
+#: Distinct units, and characters and ids of units, that a worker remembers before it starts afresh.
+REMEMBERED, REMEMBERED_CHARS = 200_000, 8_000_000
 UNIT = re.compile(r"\s*\S+|\s+")
 #: White space to Python only; a text with one of these is cut by the pattern alone.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -70,6 +71,7 @@ class BytePairCodec:
 
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
+        self.chars = 0
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
@@ -163,6 +165,7 @@ class BytePairCodec:
         self.starts = np.concatenate((self.starts, first + np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)))
         self.lengths = np.concatenate((self.lengths, lengths))
         self.ids = np.concatenate((self.ids, *ids)) if ids else self.ids
+        self.chars += sum(map(len, units))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many are each text's."""
@@ -171,7 +174,7 @@ class BytePairCodec:
             cut = [] if not text else [text] if ODD_SPACE.search(text) else UNIT.findall(text)
             units += cut
             per_text.append(len(cut))
-        if len(self.index) > REMEMBERED:
+        if len(self.index) > REMEMBERED or self.chars + len(self.ids) > REMEMBERED_CHARS:
             self._forget()
         if new := [u for u in set(units) if u not in self.index]:
             self._learn(new)

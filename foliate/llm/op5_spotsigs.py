@@ -12,7 +12,8 @@ pairs of unlike lengths are pruned before the sets are compared in full.
 
 Nulls are empty texts.  The next document is that of the next smaller doc_id, after the last the first; among rows that repeat a doc_id
 the one with the least text stands for it, and each row is edited on its own.  A row without doc_id has no next: nothing is
-put in place of its cut end and near_next is 0.  A single document is its own next.  Empty tables give no rows.
+put in place of its cut end and near_next is 0.  A single document is its own next.  Empty tables give no rows.  Texts of any
+length count whole.  Extra columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
