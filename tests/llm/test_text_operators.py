@@ -69,6 +69,18 @@ def test_bpe_frames(spark):
     assert op1_bpe.round_trip_digests(df.limit(0), BPE_RANKS, public_tokenizers.PATTERN).collect() == []
 
 
+def test_bpe_digests_equal_the_library(spark, reference_encoding):
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, "x" * 3000), (-3, "")], "doc_id long, text string"))
+    df = df.withColumns({"n_tokens": df.doc_id, "key": df.text})  # clashing names do not matter
+    texts = {r.doc_id: r.text or "" for r in df.collect()}
+    rows = op1_bpe.round_trip_digests(df, BPE_RANKS, public_tokenizers.PATTERN).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = np.array(reference_encoding.encode_ordinary(texts[r.doc_id]), "<u4")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
 ARTICLE = "<h1>A &amp; B</h1><p>First   <b>bold</b><br>line<p>Second &lt;x&gt; <a href='/y'>link</a></p><ul><li>one<li>two</ul>"
 TEXT = "A & B\nFirst bold line\nSecond <x> link\none\ntwo"
 
