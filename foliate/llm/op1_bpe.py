@@ -32,7 +32,7 @@ from .vector import HashTable, U64, buckets, gather, slices
 LONG = 256
 NONE = np.int32(np.iinfo(np.int32).max)
 #: Distinct units, and characters and ids of units, that a worker remembers before it starts afresh.
-REMEMBERED, REMEMBERED_CHARS = 200_000, 8_000_000
+REMEMBERED, REMEMBERED_CHARS = 500_000, 20_000_000
 UNIT = re.compile(r"\s*\S+|\s+")
 #: White space to Python only; a text with one of these is cut by the pattern alone.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
