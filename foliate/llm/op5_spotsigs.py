@@ -2,8 +2,10 @@
 
 Words are runs of letters and digits, lowered.  Common words are anchors.  Where one or more anchors are followed by content words, or
 content words open the text, the nearest anchor (or none) and the next ``CHAIN`` content words, whatever anchors stand between,
-form a chain; the first 32 bits of its md5 are a signature.  A fingerprint is the sorted set of signatures, each as eight hex
-digits.  A text of anchors alone has one signature, of all its words; a text without words has the empty fingerprint.
+form a chain; the first 32 bits of its md5 are a signature.  In a stretch without anchors (code, tables, languages without a
+list) every content word that no such chain reaches opens a chain of its own, without an anchor: all words of all texts count.
+A fingerprint is the sorted set of signatures, each as eight hex digits.  A text of anchors alone has one signature, of all its
+words; a text without words has the empty fingerprint.
 
 The likeness of two fingerprints is the Jaccard similarity of their sets, 0 if either is empty.  ``similar_pairs`` finds all pairs with at
 least a given likeness: equal fingerprints are one class; sets are partitioned by length so that only the same and the next
@@ -46,8 +48,10 @@ def signatures(words: Column, content: Column) -> Column:
 
     def chain(x: Column, j: Column) -> Column:
         opens = (j == 0) | (F.get(content, j - 1)["i"] < x["i"] - 1)
-        text = F.concat_ws(" ", F.coalesce(F.get(words, x["i"] - 1), F.lit("")), x["w"], *(word(j + k) for k in range(1, CHAIN)))
-        return F.when(opens, F.substring(F.md5(text.cast("binary")), 1, 8))
+        beyond = (j >= CHAIN) & (F.get(content, j - CHAIN)["i"] == x["i"] - CHAIN)  # the words before it are content
+        anchor = F.when(opens, F.coalesce(F.get(words, x["i"] - 1), F.lit(""))).otherwise(F.lit(""))
+        text = F.concat_ws(" ", anchor, x["w"], *(word(j + k) for k in range(1, CHAIN)))
+        return F.when(opens | beyond, F.substring(F.md5(text.cast("binary")), 1, 8))
 
     chains = F.filter(F.transform(content, chain), lambda s: s.isNotNull())
     anchors_only = F.array(F.substring(F.md5(F.array_join(words, " ").cast("binary")), 1, 8))
@@ -153,8 +157,8 @@ _LIST = ", ".join(f"'{w}'" for w in ANCHORS)
 
 def _sql_signatures(text: str) -> str:
     words = f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
-    return f"""(SELECT CASE WHEN len(c) > 0 THEN list_sort(list_distinct(list_transform(list_filter(range(1, len(c) + 1), lambda j: j = 1 OR c[j - 1].i < c[j].i - 1),
-            lambda j: left(md5(concat_ws(' ', coalesce(w[c[j].i - 1], ''), c[j].w, c[j + 1].w, c[j + 2].w)), 8))))
+    return f"""(SELECT CASE WHEN len(c) > 0 THEN list_sort(list_distinct(list_transform(list_filter(range(1, len(c) + 1), lambda j: j = 1 OR c[j - 1].i < c[j].i - 1 OR (j > {CHAIN} AND c[j - {CHAIN}].i = c[j].i - {CHAIN})),
+            lambda j: left(md5(concat_ws(' ', CASE WHEN j = 1 OR c[j - 1].i < c[j].i - 1 THEN coalesce(w[c[j].i - 1], '') ELSE '' END, c[j].w, c[j + 1].w, c[j + 2].w)), 8))))
         WHEN len(w) > 0 THEN [left(md5(array_to_string(w, ' ')), 8)] ELSE [] END
       FROM (SELECT w, list_filter(list_transform(range(1, len(w) + 1), lambda i: {{'w': w[i], 'i': i}}), lambda x: NOT list_contains([{_LIST}], x.w)) AS c FROM (SELECT {words} AS w)))"""
 

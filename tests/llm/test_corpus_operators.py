@@ -1,8 +1,10 @@
 """Language model, language ID, near-duplicates, mixing, fingerprints and top-k against brute force and SQL."""
 
 import collections
+import hashlib
 import itertools
 import math
+import re
 import zlib
 
 import numpy as np
@@ -378,6 +380,32 @@ def test_spotsigs_edge_rows(spark):
     assert op5_spotsigs.edited_likeness(docs(spark, [])).collect() == []
 
 
+def spot_prints(text):
+    """Signatures by hand: a loop over the words, for texts of ASCII words."""
+    words, found, since = re.findall("[a-z0-9]+", text.lower()), set(), 0
+    for i, w in enumerate(words):
+        if w in op5_spotsigs.ANCHORS:
+            since = 0
+            continue
+        rest = [v for v in words[i:] if v not in op5_spotsigs.ANCHORS][: op5_spotsigs.CHAIN]
+        first = not any(v not in op5_spotsigs.ANCHORS for v in words[:i])
+        if first or since == 0 or since >= op5_spotsigs.CHAIN:
+            anchor = words[i - 1] if i and (first or since == 0) else ""
+            found.add(hashlib.md5(" ".join([anchor, *rest]).encode()).hexdigest()[:8])
+        since += 1
+    return "".join(sorted(found or {hashlib.md5(" ".join(words).encode()).hexdigest()[:8]} if words else ()))
+
+
+def test_spotsigs_cover_texts_without_anchors(spark):
+    plain = " ".join(f"word{i}" for i in range(40))
+    code = "return value if count then print total else raise error code seven eight nine ten the end of file reached now here again"
+    texts = [plain, " ".join(f"word{i}" if i < 20 else f"other{i}" for i in range(40)), code, "the a of", "", "alpha", "the alpha beta gamma delta epsilon the zeta"]
+    got = {r.doc_id: r for r in op5_spotsigs.edited_likeness(docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()}
+    assert [got[i].fingerprint for i in range(len(texts))] == [spot_prints(t) for t in texts]
+    assert len(got[0].fingerprint) == 8 * 38 and got[1].near_next > 0.2  # 18 chains of the first half are shared
+    assert got[0].near_edited < 0.5 and got[1].near_edited < 1.0
+
+
 def test_spotsigs_pairs_equal_brute_force(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 150")
     rng = np.random.default_rng(0)
