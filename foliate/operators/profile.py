@@ -46,15 +46,29 @@ def repeated_lines(views: DataFrame, by: str, page: str) -> DataFrame:
 def probe(views: DataFrame, phrases: DataFrame, keys: Sequence[str], name: str, phrase: str, block_bytes: int = 16 << 20) -> DataFrame:
     """keys, name: the phrases (normalised) that a page's full text contains.
 
-    Phrases are broadcast, and tried on all pages, in as many blocks as keep a block near ``block_bytes``.  Null phrases and
-    pages match nothing.
+    A phrase of three or more words can only stand on a page that has its inner words, the first and last left out, as whole
+    words: such phrases are looked up by the longest of these, and only pages that have it are searched.  Shorter phrases, which
+    may begin and end inside words, are tried on all pages.  Phrases are broadcast in as many blocks as keep a block near
+    ``block_bytes``.  Null phrases and pages match nothing.
     """
-    probes = phrases.select(name, phrase).filter(F.col(phrase).isNotNull())
-    size = probes.agg(F.sum(F.octet_length(phrase) + 64)).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    place = F.pmod(F.xxhash64(name, phrase), F.lit(blocks))
+    words = F.split(phrase, " ", -1)
+    inner = F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    probes = phrases.select(name, phrase, longest.alias("_token")).filter(F.col(phrase).isNotNull())
+    keyed = F.col("_token").isNotNull()
+    size = probes.groupBy(keyed.alias("keyed")).agg(F.sum(F.octet_length(phrase) + F.octet_length(F.coalesce("_token", F.lit(""))) + 64).alias("bytes"))
+    blocks = {r.keyed: -(-r.bytes // block_bytes) for r in size.collect()} or {False: 1}
     pages = views.select(*keys, "fulltext")
-    found = [pages.join(F.broadcast(probes.filter(place == b)), F.contains("fulltext", F.col(phrase))).select(*keys, name) for b in range(blocks)]
+    tokens = each(pages, [*keys, "fulltext"], F.array_distinct(F.split("fulltext", " ", -1)), "_word")
+    holds = F.contains("fulltext", F.col(phrase))
+
+    def block(b: int, with_token: bool) -> DataFrame:
+        place = F.pmod(F.xxhash64(name, phrase), F.lit(blocks[with_token])) == b
+        some = F.broadcast(probes.filter(place & (keyed if with_token else ~keyed)))
+        rows = tokens.join(some, (F.col("_word") == F.col("_token")) & holds) if with_token else pages.join(some, holds)
+        return rows.select(*keys, name)
+
+    found = [block(b, k) for k, n in blocks.items() for b in range(n)]
     return reduce(DataFrame.unionByName, found)
 
 

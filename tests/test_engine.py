@@ -15,8 +15,9 @@ from foliate import pipeline, queries
 from foliate.functions import text
 from foliate.operators import cards, classify, evaluate, grouping, imaging, ordering, profile, provider
 from foliate.plans import policies as mortgage
-from foliate.plans.policy import OrderRules, Policy, Signal, Spec, Subtype, Vendor, lint
+from foliate.plans.policy import CardRules, OrderRules, Policy, Signal, Spec, Subtype, Vendor, lint
 from foliate.sources import packages, pages, sinks, tables
+from foliate.sources import policies as policy_files
 from foliate.streaming.pages import classify_stream
 
 from .conftest import SF
@@ -353,6 +354,68 @@ def test_probes_in_blocks(spark):
         assert sorted((r.page, r.item) for r in found.collect()) == want
 
 
+def test_long_probes_equal_containment(spark):
+    pages = ["the quick brown fox jumps over", "xthe quick brown foxy", "quick  brown", "a a a a", "brown the quick", "", None]
+    phrases = ["the quick brown fox", "e quick bro", "quick brown", "a a a", "a a a a a", "own fox", "the slow fox", "", None, "brown the quick"]
+    views = text.with_views(page_frame(spark, pages))
+    probes = spark.createDataFrame([(i, p) for i, p in enumerate(phrases)], "item int, phrase string")
+    full = {r.page: r.fulltext for r in views.select("page", "fulltext").collect()}
+    want = sorted((n, i) for n, t in full.items() for i, p in enumerate(phrases) if t is not None and p is not None and p in t)
+    for size in (1 << 20, 150):
+        found = profile.probe(views, probes, ["page"], "item", "phrase", size)
+        assert sorted((r.page, r.item) for r in found.collect()) == want
+    assert profile.probe(views, probes.limit(0), ["page"], "item", "phrase").collect() == []
+
+
+def test_row_ink(spark):
+    raster = bytes([0, 255, 9, 159, 160, 9, 200, 0, 9])  # rows of 2 pixels, 3 bytes apart
+    rows = [(raster, 2, 3, 3), (raster[:8], 2, 3, 3), (None, 2, 3, 3), (raster, None, 3, 3), (b"", 0, 0, 0)]
+    df = spark.createDataFrame(rows, "s binary, w int, h int, stride int").select(imaging.row_ink("s", "w", "h", "stride").alias("p")).select("p.*")
+    assert [(r.across, r.down) for r in df.collect()] == [([1, 1, 1], [2, 1]), (None, None), (None, None), (None, None), ([], [])]
+
+
+def test_policies_from_files(spark, tmp_path):
+    new = {
+        "type": "NEW",
+        "universal": {"decisive": {"D": {"layer": "domain", "description": "not read", "require_all": ["x", "y"]}}, "supportive": {"S": {"patterns": ["a+"], "require_absent": ["z"]}}},
+        "vendors": {
+            "v": {
+                "identity": {"phrases": ["v corp"]},
+                "decisive": {"VD": {"phrases": ["p", "q", "r"], "min_matches": 2, "identity_exempt": True}},
+                "subtypes": {"one": {"phrases": ["p"]}, "rest": {"via": "VD", "fallback_if_others": True}},
+            }
+        },
+        "combine": {"supportive_min": 3, "vendor_decisive_requires_identity": False},
+        "cards": {"id_patterns": {"id": "[0-9]+"}, "name_window_pt": {"y": 2, "x": 9}, "signal_phrase_fields": ["S"]},
+        "ordering": {"subtype_order": ["one", "rest"], "per_vendor_subtype_order": {"v": ["rest"]}, "marker_no_denominator": True, "l_rank_pattern": "l(1)"},
+    }
+    flat = {"type": "FLAT", "decisive": {"D": {"require_all_any": [["x"], ["y", "z"]]}}, "subtypes": {"default": "main", "suffix_map": {"more": "other"}}, "adjacent_exclusions": {"near": {"phrases": ["n"]}}}
+    (tmp_path / "b.json").write_text(json.dumps(new))
+    (tmp_path / "a.json").write_text(json.dumps(flat))
+    (tmp_path / "notes.txt").write_text("no policy")
+    assert list(policy_files.available(tmp_path)) == ["a", "b"]
+    a, b = policy_files.load(tmp_path)
+    assert a == Policy("FLAT", decisive=(Signal("D", Spec(require_all_any=(("x",), ("y", "z")))),), exclusions=(Signal("near", Spec(("n",))),), default_subtype="main", suffixes={"more": "other"})
+    vendor = Vendor("v", Spec(("v corp",)), (Signal("VD", Spec(("p", "q", "r"), 2), exempt=True),), (), (Subtype("one", Spec(("p",))), Subtype("rest", None, "VD", True)))
+    assert b == Policy(
+        "NEW", (Signal("D", Spec(require_all=("x", "y")), "domain"),), (Signal("S", Spec(absent=("z",), patterns=("a+",))),), (vendor,), supportive_min=3, needs_identity=False,
+        cards=CardRules(ids={"id": "[0-9]+"}, window=(2, 9), section_signals=("S",)), order=OrderRules(("one", "rest"), {"v": ("rest",)}, True, ("l(1)",)),
+    )
+    verdicts = classify.unified(spark.createDataFrame([(1, "x\ny"), (2, "q and p"), (3, None)], "page int, raw string"), [a, b], ["page"])
+    assert {r.page: r.type for r in verdicts.collect()}[2] == "NEW"
+
+
+def test_expected_pages(spark):
+    config = {"T": {"02": {"expected": [3, 1], "undecided": [7]}, "03": {"expected_paths": {"RULE_HIGH": [1, 2], "DEFER_LLM": [2]}, "expected_vlm": [9]}, "99": {"expected": [1]}}}
+    got = policy_files.expected_pages(spark, config, "T", ["01", "02", "03", "04"])
+    rows = sorted(map(tuple, got.pages.collect()), key=repr)
+    want = [("02", 3, "expected", None), ("02", 1, "expected", None), ("02", 7, "undecided", None), ("03", 1, "expected", None), ("03", 2, "expected", None)]
+    want += [("03", 1, "path", "RULE_HIGH"), ("03", 2, "path", "RULE_HIGH"), ("03", 2, "path", "DEFER_LLM"), ("03", 9, "expected_vlm", None)]
+    assert rows == sorted(want, key=repr) and len(got.warnings) == 2 and "99" in got.warnings[0] and "04" in got.warnings[1]
+    none = policy_files.expected_pages(spark, {}, "T", [])
+    assert none.pages.collect() == [] and none.warnings == []
+
+
 def test_spread_leaves_large_tables(spark):
     rows = spark.range(1000, numPartitions=1)
     assert tables.spread(rows, 1).rdd.getNumPartitions() == 1
