@@ -10,7 +10,8 @@ from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,9 +73,23 @@ def compatibility_class() -> str:
     return f"[\\x{{80}}-\\x{{{sys.maxunicode:x}}}&&[{grouped}]]"
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+def nfkc_texts(texts: pa.Array) -> pa.Array:
+    """NFKC of each text; one text at a time is a Python string."""
+    return pa.array((x if x is None or x.isascii() else unicodedata.normalize("NFKC", x) for x in (t.as_py() for t in texts)), pa.string(), size=len(texts))
+
+
+@F.arrow_udf(T.StringType())
+def _nfkc(s: pa.Array) -> pa.Array:
+    return nfkc_texts(s)
+
+
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once a row, whatever reads it.
+
+    Projections over each other are merged, and so are those below a Python function: what is read in several places, or inside a
+    lambda, is spelt out and computed in each.  Nothing is merged across a generator.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
 
 
 def compatible(df: DataFrame, text: str) -> DataFrame:
@@ -88,7 +103,8 @@ def with_views(df: DataFrame, text: str = "raw", nfkc: bool = True) -> DataFrame
     lines = F.filter(F.transform(F.split(F.coalesce(F.col("_t"), F.lit("")), LINE_END), normalize), lambda x: x != "")
     rows = df.withColumn("_t", F.col(text))
     rows = compatible(rows, "_t") if nfkc else rows
-    return rows.withColumn("lines", lines).drop("_t").withColumn("fulltext", F.array_join("lines", " "))
+    both = F.transform(F.array(lines), lambda x: F.struct(x.alias("lines"), F.array_join(x, " ").alias("fulltext")))
+    return held(rows, "_v", F.get(both, F.lit(0))).drop("_t").withColumns({"lines": F.col("_v.lines"), "fulltext": F.col("_v.fulltext")}).drop("_v")
 
 
 def normalize_phrase(phrase: str) -> str:
@@ -125,8 +141,9 @@ class NearLines:
 
     BINS = 64
 
-    def __init__(self, phrases: list[str], cutoff: float = FUZZY_CUTOFF):
-        self.phrases, self.cutoff = phrases, cutoff
+    def __init__(self, phrases: list[str], cutoff: float = FUZZY_CUTOFF, lines_indexed: bool = False):
+        """``lines_indexed``: likeness is that of a phrase to the indexed line, which can differ from the other way round."""
+        self.phrases, self.cutoff, self.lines_indexed = phrases, cutoff, lines_indexed
         self.counts = self._counts(phrases)
         self.longest = longest_near(phrases, cutoff)
 
@@ -136,28 +153,52 @@ class NearLines:
         owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
         return np.bincount(owner * self.BINS + points % self.BINS, minlength=len(texts) * self.BINS).reshape(-1, self.BINS).astype(np.int32)
 
+    #: Characters of lines that are counted at once.
+    CHARS = 1 << 19
+
     def match(self, lines: Iterable[str]) -> dict[str, list[tuple[str, float]]]:
         """line -> (phrase, likeness) of the phrases that it is like, at or above the cutoff."""
         rows = sorted({x for x in lines if len(x) <= self.longest}, key=len)
         found: dict[str, list[tuple[str, float]]] = {}
-        if not rows:
-            return found
-        counts, sizes = self._counts(rows), np.array([len(x) for x in rows])
-        matcher = difflib.SequenceMatcher()
+        a = 0
+        while a < len(rows):
+            b = min(len(rows), a + max(1, self.CHARS // (len(rows[a]) + self.BINS)))
+            while b - a > 1 and (b - a) * (len(rows[b - 1]) + self.BINS) > 2 * self.CHARS:
+                b = a + (b - a) // 2
+            self._match(rows[a:b], found)
+            a = b
+        return found
+
+    def _match(self, rows: list[str], found: dict[str, list[tuple[str, float]]]) -> None:
+        """Add the likenesses of some lines, which are sorted by length."""
+        counts, sizes = np.ascontiguousarray(self._counts(rows).T), np.array([len(x) for x in rows])
+        matcher, of_line = difflib.SequenceMatcher(), {}
         for phrase, have in zip(self.phrases, self.counts, strict=True):
             n = len(phrase)
             # 2 * min(a, n) >= cutoff * (a + n) bounds the length of a line on both sides; the ends are tested below
             a, b = np.searchsorted(sizes, [int(self.cutoff * n / (2 - self.cutoff)), int((2 - self.cutoff) * n / self.cutoff) + 1], side="left")
+            if a == b:
+                continue
             least = self.cutoff * (sizes[a:b] + n) - 1e-9
-            both = np.minimum(counts[a:b], have).sum(axis=1)
+            both = np.zeros(b - a, np.int32)
+            for k in np.flatnonzero(have):
+                both += np.minimum(counts[k, a:b], have[k])
             likely = np.flatnonzero((2.0 * np.minimum(sizes[a:b], n) >= least) & (2.0 * both >= least))
-            if len(likely):
+            if self.lines_indexed:
+                for k in (likely + a).tolist():
+                    of_line.setdefault(k, []).append(phrase)
+            elif len(likely):
                 matcher.set_seq2(phrase)
                 for k in (likely + a).tolist():
                     matcher.set_seq1(rows[k])
                     if matcher.quick_ratio() >= self.cutoff and (ratio := matcher.ratio()) >= self.cutoff:
                         found.setdefault(rows[k], []).append((phrase, ratio))
-        return found
+        for k, phrases in of_line.items():
+            matcher.set_seq2(rows[k])
+            for phrase in phrases:
+                matcher.set_seq1(phrase)
+                if matcher.quick_ratio() >= self.cutoff and (ratio := matcher.ratio()) >= self.cutoff:
+                    found.setdefault(rows[k], []).append((phrase, ratio))
 
 
 def longest_near(phrases: list[str], cutoff: float = FUZZY_CUTOFF) -> int:
@@ -165,28 +206,80 @@ def longest_near(phrases: list[str], cutoff: float = FUZZY_CUTOFF) -> int:
     return int((2 - cutoff) * max(map(len, phrases), default=0) / cutoff) + 1
 
 
+def alike(phrase: str, cutoff: float = FUZZY_CUTOFF) -> bool:
+    """Whether any line but the phrase itself can be like it: one character more, less or other is the least difference."""
+    n = len(phrase)
+    return any(2.0 * common >= cutoff * (size + n) - 1e-9 for size, common in ((n + 1, n), (n - 1, n - 1), (n, n - 1)))
+
+
+def _short(lines: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The items of a list array and the row of each."""
+    sizes = np.nan_to_num(pc.list_value_length(lines).to_numpy(zero_copy_only=False)).astype(np.int64)
+    return lines.flatten(), np.repeat(np.arange(len(lines)), sizes)
+
+
+def _nearest(near: NearLines, lines: pa.Array) -> dict[int, dict[str, tuple[float, str]]]:
+    """row -> phrase -> (likeness, line) of the line of the row that is most like the phrase; equal likeness goes to the larger line."""
+    items, owner = _short(lines)
+    likes = near.match(pc.unique(items).to_pylist())
+    best: dict[int, dict[str, tuple[float, str]]] = {}
+    if likes:
+        for k in np.flatnonzero(pc.is_in(items, value_set=pa.array(list(likes), items.type)).to_numpy(zero_copy_only=False)).tolist():
+            line, of_row = items[k].as_py(), best.setdefault(int(owner[k]), {})
+            for phrase, ratio in likes[line]:
+                of_row[phrase] = max(of_row.get(phrase, (ratio, line)), (ratio, line))
+    return best
+
+
+def _maps(rows: Iterable[dict[str, str | None]], n: int) -> pa.Array:
+    return pa.array((list(x.items()) for x in rows), pa.map_(pa.string(), pa.string()), size=n)
+
+
+def found_phrases(phrases: list[str]):
+    """(lines, fulltext) -> map of normalised phrases on the page: null for one that its text contains, else its nearest line.
+
+    All phrases are looked up in one pass of a page through Python, whose search is several times as fast as the JVM's.  Of the
+    lines, only those that are short enough to be like a phrase go there.
+    """
+    wanted = list(dict.fromkeys(phrases))
+    fuzzy = [p for p in wanted if alike(p)]
+    longest = longest_near(fuzzy)
+    kept: list[NearLines] = []
+
+    @F.arrow_udf(T.MapType(T.StringType(), T.StringType()))
+    def run(lines: pa.Array, texts: pa.Array) -> pa.Array:
+        if not kept:
+            kept.append(NearLines(fuzzy))
+        best = _nearest(kept[0], lines)
+
+        def row(i: int, text: str) -> dict[str, str | None]:
+            found: dict[str, str | None] = {p: None for p in wanted if p in text}
+            return found | {p: line for p, (_, line) in best.get(i, {}).items() if p not in found}
+
+        return _maps((row(i, t.as_py() or "") for i, t in enumerate(texts)), len(texts))
+
+    def column(lines: Column | str, fulltext: Column | str) -> Column:
+        few = F.filter(lines, lambda x: F.length(x) <= longest) if fuzzy else F.array().cast("array<string>")
+        return run(few, F.col(fulltext) if isinstance(fulltext, str) else fulltext)
+
+    return column
+
+
 def fuzzy_lines(phrases: list[str]):
     """(lines, fulltext) -> map of phrase to nearest line, for normalised phrases not in the page as they are.
 
     Equal likeness goes to the larger line.  Only lines that are short enough to be like a phrase leave the JVM.
     """
-    wanted = list(dict.fromkeys(phrases))
+    wanted = [p for p in dict.fromkeys(phrases) if alike(p)]
     longest = longest_near(wanted)
     kept: list[NearLines] = []
 
-    @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-    def run(lines: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.MapType(T.StringType(), T.StringType()))
+    def run(lines: pa.Array) -> pa.Array:
         if not kept:
             kept.append(NearLines(wanted))
-        near = kept[0].match(x for page in lines if page is not None for x in page)
-        out = []
-        for page in lines:
-            best: dict[str, tuple[float, str]] = {}
-            for line in () if page is None or not near else page:
-                for phrase, ratio in near.get(line, ()):
-                    best[phrase] = max(best.get(phrase, (ratio, line)), (ratio, line))
-            out.append({phrase: line for phrase, (_, line) in best.items()})
-        return pd.Series(out)
+        best = _nearest(kept[0], lines)
+        return _maps(({p: line for p, (_, line) in best.get(i, {}).items()} for i in range(len(lines))), len(lines))
 
     def column(lines: Column | str, fulltext: Column | str) -> Column:
         short = F.filter(lines, lambda x: F.length(x) <= longest)

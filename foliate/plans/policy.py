@@ -7,16 +7,19 @@ are boolean expressions over its elements, so the size of a plan follows the num
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import re
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
+from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliate.functions.text import fuzzy_lines, normalize_phrase
+from foliate.functions.text import found_phrases, held, normalize_phrase
 
-METHODS, FUZZY = "_methods", "_fuzzy"
+METHODS, FUZZY, PATTERNS, SPECS = "_methods", "_fuzzy", "_patterns", "_specs"
+RESULT = "struct<first:struct<method:string,matched_text:string>,matched:array<string>>"
 HIT = "struct<signal_id:string,kind:string,layer:string,method:string,matched_text:string,vendor:string,demoted_from:string,identity_exempt:boolean>"
 
 
@@ -110,10 +113,12 @@ class Policy:
 
         return replace(self, vendors=())
 
-    def every_phrase(self) -> list[str]:
+    def every_spec(self) -> list[Spec]:
         specs = [s.spec for s in (*self.signals(), *self.exclusions)] + [v.identity for v in self.vendors]
-        specs += [t.spec for v in self.vendors for t in v.subtypes if t.spec]
-        return [p for s in specs for p in s.every_phrase()] + list(self.suffixes) + list(self.cards.printed_codes)
+        return specs + [t.spec for v in self.vendors for t in v.subtypes if t.spec]
+
+    def every_phrase(self) -> list[str]:
+        return [p for s in self.every_spec() for p in s.every_phrase()] + list(self.suffixes) + list(self.cards.printed_codes)
 
     def subtype_names(self) -> list[str]:
         return [t.name for v in self.vendors for t in v.subtypes] + list(self.suffixes.values())
@@ -131,6 +136,36 @@ def _array(items: list[Column], kind: str = "string") -> Column:
     return F.array(*items) if items else F.array().cast(f"array<{kind}>")
 
 
+def needed(pattern: str) -> str:
+    """A literal that stands in every text with a match: the longest of those outside of choices and optional parts; may be empty."""
+
+    def longest(parts: Iterable[tuple]) -> str:
+        best, run = "", ""
+        for op, value in parts:
+            name = str(op)
+            if name == "LITERAL":
+                run += chr(value)
+                best = max(best, run, key=len)
+                continue
+            run = ""
+            inner = value[-1] if name in ("SUBPATTERN", "ASSERT") and value[0 if name == "ASSERT" else 1] in (0, 1) else value[2] if name in ("MAX_REPEAT", "MIN_REPEAT") and value[0] else ()
+            best = max(best, longest(inner), key=len)
+        return best
+
+    try:
+        tree = _parser.parse(pattern)
+    except (re.error, RecursionError):
+        return ""
+    return longest(tree) if tree.state.flags == re.UNICODE.value else ""
+
+
+def first_match(pattern: str) -> Column:
+    """The first text of a page that matches, or null; only pages with the pattern's literal are searched."""
+    text = F.col("fulltext")
+    hit = F.contains(text, F.lit(needed(pattern))) & text.rlike("(?U)" + pattern) if needed(pattern) else text.rlike("(?U)" + pattern)
+    return F.when(hit, F.regexp_extract(text, "(?U)" + pattern, 0))
+
+
 class Matcher:
     """The phrases of some policies, matched once a page."""
 
@@ -138,24 +173,37 @@ class Matcher:
         self.policies = list(policies)
         self.phrases = list(dict.fromkeys(normalize_phrase(p) for policy in self.policies for p in policy.every_phrase()))
         self.place = {p: i for i, p in enumerate(self.phrases)}
+        self.specs = {s: i for i, s in enumerate(dict.fromkeys(s for policy in self.policies for s in policy.every_spec()))}
+        self.patterns = {p: i for i, p in enumerate(dict.fromkeys(p for s in self.specs for p in s.patterns))}
         self.fuzzy = fuzzy
 
     def add(self, views: DataFrame) -> DataFrame:
-        """Add the array of methods (line, substring, fuzzy or null) by phrase, cheapest test first."""
+        """Add the array of methods (line, substring, fuzzy or null) by phrase, and the results of the policies' specs, each once a row."""
         if not self.phrases:
-            return views.withColumn(METHODS, F.array().cast("array<string>")).withColumn(FUZZY, F.create_map().cast("map<string,string>"))
-        near = fuzzy_lines(self.phrases)("lines", "fulltext") if self.fuzzy else F.lit(None).cast("map<string,string>")
-        rows = views.withColumn(FUZZY, near)
-
-        def method(p: Column) -> Column:
-            exact = F.when(F.array_contains("lines", p), "line").when(F.contains("fulltext", p), "substring")
-            return exact.when(F.map_contains_key(F.col(FUZZY), p), "fuzzy") if self.fuzzy else exact
-
-        return rows.withColumn(METHODS, F.transform(F.array(*map(F.lit, self.phrases)), method))
+            rows = views.withColumn(METHODS, F.array().cast("array<string>")).withColumn(FUZZY, F.create_map().cast("map<string,string>"))
+        elif self.fuzzy:
+            rows = held(views, FUZZY, found_phrases(self.phrases)("lines", "fulltext"))
+            exact = lambda p: F.when(F.array_contains("lines", p), "line").otherwise("substring")
+            rows = self._methods(rows, lambda p: F.when(F.map_contains_key(F.col(FUZZY), p), F.when(F.element_at(F.col(FUZZY), p).isNull(), exact(p)).otherwise("fuzzy")))
+        else:  # a line is a part of the full text
+            rows = self._methods(views.withColumn(FUZZY, F.lit(None).cast("map<string,string>")), lambda p: F.when(F.contains("fulltext", p), F.when(F.array_contains("lines", p), "line").otherwise("substring")))
+        if self.patterns:
+            rows = held(rows, PATTERNS, F.array(*map(first_match, self.patterns)))
+        if not self.specs:
+            return rows
+        found = [F.struct(first.alias("first"), matched.alias("matched")) for first, matched in map(self._eval, self.specs)]
+        return held(rows, SPECS, F.array(*(x.cast(RESULT) for x in found)))
+
+    def _methods(self, rows: DataFrame, method: Callable[[Column], Column]) -> DataFrame:
+        return held(rows, METHODS, F.transform(F.array(*map(F.lit, self.phrases)), method))
 
     def method(self, phrase: str) -> Column:
         return F.get(F.col(METHODS), F.lit(self.place[normalize_phrase(phrase)]))
 
+    def pattern(self, pattern: str) -> Column:
+        """The first text that matches a pattern, or null."""
+        return F.get(F.col(PATTERNS), F.lit(self.patterns[pattern])) if pattern in self.patterns else first_match(pattern)
+
     def hit(self, phrase: str) -> Column:
         return self.method(phrase).isNotNull()
 
@@ -166,7 +214,13 @@ class Matcher:
         return F.when(self.hit(phrase), F.struct(self.method(phrase).alias("method"), text.alias("matched_text")))
 
     def eval(self, spec: Spec) -> tuple[Column, Column]:
-        """(struct(method, matched_text) or null, matched phrases) of a spec."""
+        """(struct(method, matched_text) or null, matched phrases) of a spec; one of the policies' own is read from its column."""
+        if spec in self.specs:
+            found = F.get(F.col(SPECS), F.lit(self.specs[spec]))
+            return found["first"], found["matched"]
+        return self._eval(spec)
+
+    def _eval(self, spec: Spec) -> tuple[Column, Column]:
         groups = spec.require_all_any
         fits = _all(~self.hit(p) for p in spec.absent) & _all(self.hit(p) for p in spec.require_all)
         fits &= _all(_any(self.hit(p) for p in g) for g in groups)
@@ -177,10 +231,10 @@ class Matcher:
             first.append(F.coalesce(*(self.match(p) for p in spec.phrases)))
             matched += [F.when(self.hit(p), F.lit(p)) for p in spec.phrases]
         if spec.patterns:
-            found = [F.regexp_extract("fulltext", "(?U)" + p, 0) for p in spec.patterns]
+            found = [self.pattern(p) for p in spec.patterns]
             if not first:
-                fits &= _any(F.col("fulltext").rlike("(?U)" + p) for p in spec.patterns)
-            first.append(F.coalesce(*(F.when(F.col("fulltext").rlike("(?U)" + p), F.struct(F.lit("pattern").alias("method"), x.alias("matched_text"))) for p, x in zip(spec.patterns, found, strict=True))))
+                fits &= _any(x.isNotNull() for x in found)
+            first.append(F.coalesce(*(F.when(x.isNotNull(), F.struct(F.lit("pattern").alias("method"), x.alias("matched_text"))) for x in found)))
         if not first:
             fits &= F.lit(bool(spec.absent))
             first = [F.struct(F.lit("absent").alias("method"), F.lit("").alias("matched_text"))]

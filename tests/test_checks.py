@@ -191,3 +191,51 @@ def test_planted_pages(spark):
     assert grades["RULE_HIGH"] > 120 and grades["RULE_MEDIUM"] > 60 and grades["DEFER_LLM"] > 60
     plain = materialise(classify.unified(pages, mortgage.POLICIES, ["doc_id"], "text", nfkc=False), "plain")
     assert plain.filter("rule_grade like 'RULE%'").count() < grades["RULE_HIGH"] + grades["RULE_MEDIUM"]
+
+
+def test_views_and_rules_are_computed_once_a_row(spark):
+    from foliate.plans.policy import METHODS, Matcher, Policy, Signal, Spec
+
+    rows = spark.createDataFrame([(1, "alpha\nbeta"), (2, None)], "doc_id int, text string")
+    spec = Spec(("alpha", "absent words"), patterns=(r"be+ta",))
+    m = Matcher([Policy("P", supportive=(Signal("S", spec),))], fuzzy=True)
+    for found in (m.add(text.with_views(rows, "text")).select("doc_id", m.holds(spec).alias("holds")), classify.unified(rows, mortgage.POLICIES, ["doc_id"], "text", fuzzy=True)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") == 1 and plan.count("array_join(") == 1  # before, each reader of lines or text split the page again
+    assert [r.m for r in m.add(text.with_views(rows, "text")).orderBy("doc_id").select(F.col(METHODS).alias("m")).collect()] == [["line", None], [None, None]]
+
+
+def test_found_phrases_equal_brute_force(spark):
+    phrases = ["uniform residential loan", "the", "dear consumer:", "è vero"]
+    pages = [["uniforn residential loan", "other thing"], ["a uniform residential loan", "tha"], [], ["dear consumer", "c'è vero"], None]
+    df = spark.createDataFrame([(i, p, None if p is None else " ".join(p)) for i, p in enumerate(pages)], "i int, lines array<string>, fulltext string")
+    got = {r.i: r.m for r in df.select("i", text.found_phrases(phrases)("lines", "fulltext").alias("m")).collect()}
+    for i, p in enumerate(pages):
+        full = " ".join(p or [])
+        want = {q: None if q in full else text.nearest_line(q, p or []) for q in phrases}
+        assert got[i] == {q: x for q, x in want.items() if x or q in full}
+
+
+def test_short_phrases_are_like_nothing_else():
+    for n in range(1, 16):
+        q = "abcdefghijklmnop"[:n]
+        others = [q + "z", q[:-1], q[:-1] + "z", "z" + q]
+        assert text.alike(q) == any(difflib.SequenceMatcher(None, x, q).ratio() >= text.FUZZY_CUTOFF for x in others if x != q), q
+
+
+def test_near_lines_in_bounded_slices(monkeypatch):
+    rows = [f"uniform residential loan {k}" for k in range(300)] + ["x" * k for k in range(1, 60)]
+    whole = text.NearLines(["uniform residential loan 7", "x" * 40]).match(rows)
+    sizes = []
+    count = text.NearLines._counts
+    monkeypatch.setattr(text.NearLines, "CHARS", 500)
+    monkeypatch.setattr(text.NearLines, "_counts", lambda self, texts: sizes.append(sum(len(x) + self.BINS for x in texts)) or count(self, texts))
+    assert text.NearLines(["uniform residential loan 7", "x" * 40]).match(rows) == whole and whole
+    assert len(sizes) > 20 and max(sizes[1:]) <= 1000
+
+
+def test_needed_literals():
+    from foliate.plans.policy import needed
+
+    cases = {r"\A(?=.*\btuc\b)(?=.*\bexp\b)": "tuc", r"[a-z]+@[a-z]+": "@", r"\(\d{3}\) 555-\d{4}": ") 555-", "a|b": "", "(?i)abc": "", "(abc)?d": "d", "(?!abc)d": "d", "(?:ab|c)d": "d", r"\d{16}": "", r"\Qa\E": "", "[": ""}
+    assert {p: needed(p) for p in cases} == cases
