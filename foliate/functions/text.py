@@ -135,6 +135,26 @@ def nearest_line(phrase: str, lines: list[str], cutoff: float = FUZZY_CUTOFF) ->
     return best and best[1]
 
 
+def places(text: str) -> dict[str, int]:
+    """The places of each character of a text, as bits."""
+    out: dict[str, int] = {}
+    for k, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << k
+    return out
+
+
+def common_in_order(at: dict[str, int], n: int, line: str) -> int:
+    """The length of the longest common subsequence of a line and the text of ``n`` characters whose places are ``at``; the matching
+    blocks of two texts, which stand in the same order in both, have no more characters."""
+    full = (1 << n) - 1
+    left = full
+    for c in line:
+        if c in at:
+            taken = left & at[c]
+            left = (left + taken | left - taken) & full
+    return n - left.bit_count()
+
+
 class NearLines:
     """Finds the lines that are like any of some phrases.  Lengths and counts of characters rule out nearly all pairs of a line and a
     phrase for a whole batch at once; what is left is compared in full."""
@@ -153,6 +173,15 @@ class NearLines:
         owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
         return np.bincount(owner * self.BINS + points % self.BINS, minlength=len(texts) * self.BINS).reshape(-1, self.BINS).astype(np.int32)
 
+    def _pairs(self, text: str) -> np.ndarray:
+        """How often neighbouring characters of each bin occur in a text.
+
+        Of two texts of s characters in all with m of each in matching blocks, blocks are parted by at least one of the s - 2m
+        others, so there are at most 1 + s - 2m, and m less these pairs are in both texts: 3m - s - 1, where 2m >= cutoff * s.
+        """
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        return np.bincount((points[:-1] * 31 + points[1:]) % 512, minlength=512).astype(np.int32)
+
     #: Characters of lines that are counted at once.
     CHARS = 1 << 19
 
@@ -172,7 +201,7 @@ class NearLines:
     def _match(self, rows: list[str], found: dict[str, list[tuple[str, float]]]) -> None:
         """Add the likenesses of some lines, which are sorted by length."""
         counts, sizes = np.ascontiguousarray(self._counts(rows).T), np.array([len(x) for x in rows])
-        matcher, of_line = difflib.SequenceMatcher(), {}
+        matcher, of_line, pairs = difflib.SequenceMatcher(), {}, {}
         for phrase, have in zip(self.phrases, self.counts, strict=True):
             n = len(phrase)
             # 2 * min(a, n) >= cutoff * (a + n) bounds the length of a line on both sides; the ends are tested below
@@ -183,21 +212,27 @@ class NearLines:
             both = np.zeros(b - a, np.int32)
             for k in np.flatnonzero(have):
                 both += np.minimum(counts[k, a:b], have[k])
-            likely = np.flatnonzero((2.0 * np.minimum(sizes[a:b], n) >= least) & (2.0 * both >= least))
+            likely = (np.flatnonzero((2.0 * np.minimum(sizes[a:b], n) >= least) & (2.0 * both >= least)) + a).tolist()
+            if likely:
+                own = self._pairs(phrase)
+                pairs |= {k: self._pairs(rows[k]) for k in likely if k not in pairs}
+                likely = [k for k in likely if np.minimum(pairs[k], own).sum() >= (1.5 * self.cutoff - 1) * (n + len(rows[k])) - 1 - 1e-9]
+                at = places(phrase) if likely else {}
+                likely = [k for k in likely if 2.0 * common_in_order(at, n, rows[k]) >= self.cutoff * (n + len(rows[k])) - 1e-9]
             if self.lines_indexed:
-                for k in (likely + a).tolist():
+                for k in likely:
                     of_line.setdefault(k, []).append(phrase)
-            elif len(likely):
+            elif likely:
                 matcher.set_seq2(phrase)
-                for k in (likely + a).tolist():
+                for k in likely:
                     matcher.set_seq1(rows[k])
-                    if matcher.quick_ratio() >= self.cutoff and (ratio := matcher.ratio()) >= self.cutoff:
+                    if (ratio := matcher.ratio()) >= self.cutoff:
                         found.setdefault(rows[k], []).append((phrase, ratio))
         for k, phrases in of_line.items():
             matcher.set_seq2(rows[k])
             for phrase in phrases:
                 matcher.set_seq1(phrase)
-                if matcher.quick_ratio() >= self.cutoff and (ratio := matcher.ratio()) >= self.cutoff:
+                if (ratio := matcher.ratio()) >= self.cutoff:
                     found.setdefault(rows[k], []).append((phrase, ratio))
 
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,7 @@ from pyspark.sql import types as T
 from foliate.functions.rows import each
 from foliate.functions.text import FUZZY_CUTOFF, NearLines, normalize_phrase, squash_dashes
 from foliate.operators.profile import classify_lines, probe
+from foliate.sources.tables import materialise
 
 # Shapes of lines that carry no words, and lines that printing vendors add.
 ENUM = r"[ivx0-9a-z]{1,4}[.)]"
@@ -74,8 +77,25 @@ def filled_notices(views: DataFrame, variant: str, limit: int = 10_000) -> str:
     return " ".join(re.sub(r"\s*-\s*", "-", variant.replace(BLANK, r["issuer"])) for r in found)
 
 
+def starts(text: str, least: int) -> bytes:
+    """Seven bits a byte, one set for each ``least`` characters in a row of a text, by their checksum."""
+    bits = bytearray(max(1, 2 * len(text)))
+    for piece in {text[k : k + least] for k in range(len(text) - least + 1)}:
+        at = zlib.crc32(piece.encode("utf-8", "replace")) % (7 * len(bits))
+        bits[at // 7] |= 1 << at % 7
+    return bytes(bits)
+
+
 def _in(text: str, line: Column, least: int) -> Column:
-    return (F.length(line) >= least) & F.contains(F.lit(text), line)
+    """Whether a line of ``least`` characters or more stands in a text.  The text is only searched if it has the line's first
+    characters, as a table of bits tells, and not from end to end for each line."""
+    if len(text) < least:
+        return F.lit(False)
+    bits = starts(text, least)
+    at = F.crc32(F.substring(line, 1, least).cast("binary")) % (7 * len(bits))
+    byte = F.ascii(F.substring(F.lit(bits), F.floor(at / 7).cast("int") + 1, F.lit(1)).cast("string"))
+    known = byte.bitwiseAND(F.get(F.array(*(F.lit(1 << k) for k in range(7))), (at % 7).cast("int"))) != 0
+    return (F.length(line) >= least) & known & F.contains(F.lit(text), line)
 
 
 def _one_of(line: Column, known: Sequence[str]) -> Column:
@@ -130,16 +150,18 @@ def income_lines(lines: DataFrame, overlays: Sequence[str], form_text: str, line
 
 
 def nearest(known: list[str], cutoff: float = FUZZY_CUTOFF):
-    """A pandas UDF: the known line most like a line at or above the cutoff (of equal ones the larger), else null."""
+    """An Arrow UDF: the known line most like a line at or above the cutoff (of equal ones the larger), else null."""
+
+    near = NearLines(list(dict.fromkeys(known)), cutoff, lines_indexed=True)
 
-    @F.pandas_udf(T.StringType())
-    def run(lines: pd.Series) -> pd.Series:
-        distinct = [x for x in dict.fromkeys(lines) if x]
-        best: dict[str, tuple[float, str]] = {}
-        for form, likes in NearLines(distinct, cutoff).match(known).items():
-            for line, ratio in likes:
-                best[line] = max(best.get(line, (ratio, form)), (ratio, form))
-        return lines.map(lambda x: best[x][1] if x in best else None)
+    @F.arrow_udf(T.StringType())
+    def run(lines: pa.Array) -> pa.Array:
+        short = pc.unique(lines.filter(pc.less_equal(pc.utf8_length(lines), near.longest))).to_pylist()
+        best = {line: max(((ratio, form) for form, ratio in likes))[1] for line, likes in near.match(x for x in short if x).items()}
+        if not best:
+            return pa.nulls(len(lines), pa.string())
+        at = pc.index_in(lines, value_set=pa.array(list(best), lines.type))
+        return pa.array(list(best.values()), pa.string()).take(at)
 
     return run
 
@@ -165,9 +187,10 @@ def listing(rows: DataFrame, n: str, by: str, limit: int, width: int = 110) -> D
 
 
 def unseen(form: DataFrame, views: DataFrame, line: str = "line") -> DataFrame:
-    """The lines of a form (line) that are neither a line of any page nor stand in any page's text."""
-    seen = each(views, [], F.array_distinct("lines"), "seen").distinct()
-    left = form.select(line).distinct().join(seen, F.col(line) == F.col("seen"), "left_anti")
+    """The lines of a form (line; a form is small and goes to all pages) that are neither a line of any page nor stand in any page's text."""
+    every = form.select(line).distinct()
+    seen = each(views, [], F.array_distinct("lines"), "seen").join(F.broadcast(every), F.col("seen") == F.col(line), "left_semi").distinct()
+    left = materialise(every.join(seen, F.col(line) == F.col("seen"), "left_anti"), "lines-not-seen")  # a pass of all pages, read several times
     return left.join(probe(views, left.withColumn("_p", F.col(line)), [], line, "_p").distinct(), line, "left_anti")
 
 

@@ -635,12 +635,12 @@ def _form(spark, sf_dir):
 
 
 def _lines(spark, sf_dir):
-    """Each different line once, with how often it occurs: classes depend on the line alone."""
-    return views(spark, sf_dir).select(F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("n"))
+    """All lines: to bring equal ones together first would send the whole text through the shuffle, and most lines are different."""
+    return each(views(spark, sf_dir), [], "lines", "line")
 
 
 def _counted(found):
-    return found.groupBy("line_class").agg(F.sum("n").alias("n"))
+    return found.groupBy("line_class").agg(F.count("*").alias("n"))
 
 
 _VENDOR_SQL = " OR ".join(f"regexp_matches(line, {_quote(p)})" for p in lines.TITLE_VENDOR)

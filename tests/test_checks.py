@@ -239,3 +239,46 @@ def test_needed_literals():
 
     cases = {r"\A(?=.*\btuc\b)(?=.*\bexp\b)": "tuc", r"[a-z]+@[a-z]+": "@", r"\(\d{3}\) 555-\d{4}": ") 555-", "a|b": "", "(?i)abc": "", "(abc)?d": "d", "(?!abc)d": "d", "(?:ab|c)d": "d", r"\d{16}": "", r"\Qa\E": "", "[": ""}
     assert {p: needed(p) for p in cases} == cases
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc ", max_size=12), st.text("abc ", max_size=12))
+def test_common_subsequence_bounds_matching_blocks(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    assert text.common_in_order(text.places(a), len(a), b) == table[-1][-1] >= sum(m.size for m in difflib.SequenceMatcher(None, b, a).get_matching_blocks())
+
+
+def test_few_lines_are_compared_in_full(monkeypatch):
+    rows = [" ".join(["loan", "home", "rate", "note"][k // 4**j % 4] for j in range(6)) for k in range(4**6)]  # the same words in other orders
+    full = []
+    ratio = difflib.SequenceMatcher.ratio
+    monkeypatch.setattr(difflib.SequenceMatcher, "ratio", lambda self: full.append(1) or ratio(self))
+    got = text.NearLines([rows[1000]], lines_indexed=True).match(rows)
+    assert len(full) <= 200  # before, over a thousand
+    assert got == {x: [(rows[1000], r)] for x in rows if (r := ratio(difflib.SequenceMatcher(None, rows[1000], x))) >= text.FUZZY_CUTOFF}
+
+
+def test_lines_in_a_text_by_their_first_characters(spark):
+    form = "the company agrees to pay loss — über alles, title officer: none"
+    rows = ["the company agrees", "company agrees to", "agrees to pay", "pay loss — über alles", "ay loss — über alle", "the company agrees!", "", "title officer: none", "x" * 20]
+    df = spark.createDataFrame([(x,) for x in rows], "line string")
+    for least in (1, 8, 15):
+        cond = lines._in(form, F.col("line"), least)
+        assert "crc32" in cond._jc.toString()  # before, the whole form was searched for each line
+        assert {r.line: r.ok for r in df.select("line", cond.alias("ok")).collect()} == {x: len(x) >= least and x in form for x in rows}
+    assert not df.filter(lines._in("", F.col("line"), 15)).count()
+
+
+def test_checks_run_the_rules_once(spark, monkeypatch):
+    from foliate import queries as q
+
+    made = []
+    monkeypatch.setattr(q.classify, "unified", lambda *a, f=classify.unified, **k: made.append(1) or f(*a, **k))
+    monkeypatch.setattr(q.classify, "scores", lambda *a, f=classify.scores, **k: made.append(1) or f(*a, **k))
+    q.check_report(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1  # before, three
+    q.model_inputs(spark, "/root/testdata/sf0.001")
+    assert len(made) == 2  # before, two more
