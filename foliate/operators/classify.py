@@ -36,14 +36,19 @@ def hits(df: DataFrame, policies: Sequence[Policy], keys: Sequence[str], text: s
 def scores(df: DataFrame, policies: Sequence[Policy], keys: Sequence[str], text: str = "raw", **how) -> DataFrame:
     """One row a page and type: grade, ids of signals, identities, exclusion."""
     rows, _ = with_results(df, policies, text, **how)
+    return rows.select(*keys, F.explode(_scores(policies)).alias("s")).select(*keys, "s.*")
+
+
+def _scores(policies: Sequence[Policy]) -> Column:
     one = lambda i, p: F.struct(F.lit(p.type).alias("type"), grade(F.col(f"r_{i}"), p).alias("grade"), ids_of(F.col(f"r_{i}"), "decisive").alias("decisive"), ids_of(F.col(f"r_{i}"), "supportive").alias("supportive"), F.col(f"r_{i}.identities").alias("identities"), F.col(f"r_{i}.excluded_as").alias("excluded_as"))
-    return rows.select(*keys, F.explode(F.array(*(one(i, p) for i, p in enumerate(policies)))).alias("s")).select(*keys, "s.*")
+    return F.array(*(one(i, p) for i, p in enumerate(policies)))
 
 
-def unified(df: DataFrame, policies: Sequence[Policy], keys: Sequence[str], text: str = "raw", **how) -> DataFrame:
+def unified(df: DataFrame, policies: Sequence[Policy], keys: Sequence[str], text: str = "raw", with_scores: bool = False, **how) -> DataFrame:
     """type, subtype, grade, rule_grade, decided_by, type_conflict, subtype_conflict of each page.
 
-    One type at the best rule grade wins; several at it, or none, go to the model; pages without text to vision.
+    One type at the best rule grade wins; several at it, or none, go to the model; pages without text to vision.  ``with_scores``
+    adds the rows of ``scores`` as an array, for stages that need both of one run of the rules.
     """
     rows, m = with_results(df, policies, text, **how)
     graded = rows.withColumn("_g", F.array(*(F.struct(grade(F.col(f"r_{i}"), p).alias("grade"), F.lit(p.type).alias("type")) for i, p in enumerate(policies))))
@@ -61,6 +66,7 @@ def unified(df: DataFrame, policies: Sequence[Policy], keys: Sequence[str], text
     return rows.withColumn("_s", named).select(
         *keys, "type", F.col("_s.subtype").alias("subtype"), F.col("rule_grade").alias("grade"), "rule_grade",
         F.when(F.col("type").isNotNull(), "rule").otherwise("deferred").alias("decided_by"), conflict.alias("type_conflict"), F.coalesce("_s.conflict", F.lit(False)).alias("subtype_conflict"),
+        *([_scores(policies).alias("scores")] if with_scores else []),
     )
 
 
