@@ -43,6 +43,10 @@ def repeated_lines(views: DataFrame, by: str, page: str) -> DataFrame:
     return line_frequency(views, by, page).filter("n_pages >= 2")
 
 
+#: So many words can be looked up on a page at once.
+FEW_TOKENS = 512
+
+
 def probe(views: DataFrame, phrases: DataFrame, keys: Sequence[str], name: str, phrase: str, block_bytes: int = 16 << 20) -> DataFrame:
     """keys, name: the phrases (normalised) that a page's full text contains.
 
@@ -59,7 +63,11 @@ def probe(views: DataFrame, phrases: DataFrame, keys: Sequence[str], name: str,
     size = probes.groupBy(keyed.alias("keyed")).agg(F.sum(F.octet_length(phrase) + F.octet_length(F.coalesce("_token", F.lit(""))) + 64).alias("bytes"))
     blocks = {r.keyed: -(-r.bytes // block_bytes) for r in size.collect()} or {False: 1}
     pages = views.select(*keys, "fulltext")
-    tokens = each(pages, [*keys, "fulltext"], F.array_distinct(F.split("fulltext", " ", -1)), "_word")
+    few = [r["_token"] for r in probes.filter(keyed).select("_token").distinct().limit(FEW_TOKENS + 1).collect()]
+    every = F.split("fulltext", " ", -1)
+    # a page is repeated for each of its words: only for those that are asked for, if they are few
+    asked = F.array_intersect(every, F.array(*map(F.lit, few))) if 0 < len(few) <= FEW_TOKENS else F.array_distinct(every)
+    tokens = each(pages, [*keys, "fulltext"], asked, "_word")
     holds = F.contains("fulltext", F.col(phrase))
 
     def block(b: int, with_token: bool) -> DataFrame:
