@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliate.functions.rows import each
+from foliate.sources.tables import by_keys
+
 
 def validate(assigned: DataFrame, known: DataFrame, unresolved: DataFrame, group: list[str], page: str) -> DataFrame:
-    """(group, page, problem) with problem duplicated, missing (known, neither assigned nor unresolved) or unknown."""
+    """(group, page, problem) with problem duplicated, missing (known, neither assigned nor unresolved) or unknown.
+
+    One sum for each page, so that a task holds its different pages and not the rows of several sorts.
+    """
     key = [*group, page]
-    twice = assigned.groupBy(*key).count().filter("count > 1").select(*key, F.lit("duplicated").alias("problem"))
-    missing = known.select(*key).distinct().join(assigned.select(*key).unionByName(unresolved.select(*key)), key, "left_anti").withColumn("problem", F.lit("missing"))
-    unknown = assigned.select(*key).distinct().join(known.select(*key), key, "left_anti").withColumn("problem", F.lit("unknown"))
-    return twice.unionByName(missing).unionByName(unknown)
+    mark = lambda df, *has: df.select(*key, *(F.lit(x).alias(c) for c, x in zip(("_assigned", "_known", "_open"), has, strict=True)))
+    rows = mark(assigned, 1, 0, 0).unionByName(mark(known, 0, 1, 0)).unionByName(mark(unresolved, 0, 0, 1))
+    found = by_keys(rows, key, 1 << 20).groupBy(*key).agg(F.sum("_assigned").alias("a"), F.max("_known").alias("k"), F.max("_open").alias("o"))
+    apart = reduce(lambda x, y: x | y, (F.col(c).isNull() for c in key))  # a null is equal to nothing, so such a page is never placed
+    problems = F.array(
+        F.when(F.col("a") > 1, "duplicated"), F.when((F.col("k") == 1) & (apart | ((F.col("a") == 0) & (F.col("o") == 0))), "missing"), F.when((F.col("a") > 0) & (apart | (F.col("k") == 0)), "unknown")
+    )
+    return each(found, key, problems, "problem")
 
 
 def settle(assigned: DataFrame, known: DataFrame, unresolved: DataFrame, group: list[str], page: str) -> tuple[DataFrame, DataFrame]:

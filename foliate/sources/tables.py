@@ -4,21 +4,33 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
 SMALL_BYTES = 32 << 20
+MOST_PARTITIONS = 10_000
 
 _own: dict[str, str] = {}
 
 
+def _bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def by_keys(df: DataFrame, keys: Sequence[str], each: int) -> DataFrame:
+    """Bring the rows of a key together, in as many partitions as keep each near ``each`` bytes as the table's size is estimated:
+    their number follows the input, so that what a task sorts or holds does not."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-_bytes(df) // each))
+    return df.repartition(min(n, MOST_PARTITIONS), *keys)
+
+
 def spread(df: DataFrame, small: int = SMALL_BYTES) -> DataFrame:
     """Deal a table of less than ``small`` bytes over all cores: it may be one row group, which one task would read and match.
 
     Larger tables are read in splits of their own and are not shuffled.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < small else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if _bytes(df) < small else df
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

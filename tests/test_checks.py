@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from foliate import pipeline
 from foliate.functions import text
-from foliate.operators import classify, evaluate, lines, profile, provider
+from foliate.operators import classify, evaluate, grouping, lines, profile, provider
 from foliate.plans import policies as mortgage
 from foliate.plans import prompts
 from foliate.sources import sinks, synthetic
@@ -282,3 +282,17 @@ def test_checks_run_the_rules_once(spark, monkeypatch):
     assert len(made) == 1  # before, three
     q.model_inputs(spark, "/root/testdata/sf0.001")
     assert len(made) == 2  # before, two more
+
+
+def test_grouping_checks_sort_nothing(spark):
+    rows = lambda *p: spark.createDataFrame([(1, x) for x in p], "g int, page int")
+    found = grouping.validate(rows(1, 1, 2, 9, 9, None), rows(1, 2, 3, 4, 4, None), rows(4, 7), ["g"], "page")
+    assert sorted((r.page if r.page is not None else -1, r.problem) for r in found.collect()) == [(-1, "missing"), (-1, "unknown"), (1, "duplicated"), (3, "missing"), (9, "duplicated"), (9, "unknown")]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # before, two joins that sort both sides
+
+
+def test_partitions_follow_the_size(spark):
+    from foliate.sources.tables import by_keys
+
+    few, many = (by_keys(spark.range(n), ["id"], 1 << 10).rdd.getNumPartitions() for n in (10, 100_000))
+    assert few == spark.sparkContext.defaultParallelism and many == 782
