@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliate.plans.policy import OrderRules
+from foliate.sources.tables import by_keys, materialise
 
 BY_MARKER, BY_RANK = "CODE_A_PAGE_MARKER", "CODE_B_FALLBACK_ORDER"
 
@@ -32,8 +33,11 @@ def by_markers(pages: DataFrame, group: list[str], page: str = "page", pos: str
     The commonest total must be the number of pages, every page must have exactly one number with that total, and the numbers must
     be 1 to the total.  With ``bare``, instances without such markers may be ordered by markers without a total in the same way.
     """
-    sized = pages.withColumn("_size", F.count("*").over(Window.partitionBy(*group)).cast("int"))
-    of_total = sized.join(modal_total(pages, group, pos), group).filter(F.col("y") == F.col("_size"))
+    slim = F.transform("page_marker_candidates", lambda m: F.struct(m["n"].alias("n"), m["y"].alias("y")))  # printed texts are not sorted and joined along
+    pages = pages.select(*group, *dict.fromkeys((page, pos)), slim.alias("page_marker_candidates"))
+    sized = materialise(pages.withColumn("_size", F.count("*").over(Window.partitionBy(*group)).cast("int")), "marked-pages")  # read four times
+    sized = by_keys(sized, group, 1 << 20)
+    of_total = sized.join(modal_total(sized, group, pos), group).filter(F.col("y") == F.col("_size"))
     numbers = lambda keep: F.transform(F.filter("page_marker_candidates", keep), lambda m: m["n"])
     out = _bijection(of_total, group, page, numbers(lambda m: m["y"] == F.col("y")), "_size")
     if not bare:

@@ -15,7 +15,7 @@ from foliate.plans.corpus_policies import CONTACT, LICENSED, NOISY, POLICIES
 from foliate.plans.policy import Matcher, Policy, Spec
 from foliate.sources import packages, synthetic
 from foliate.sources import pages as page_source
-from foliate.sources.tables import materialise, spread
+from foliate.sources.tables import by_keys, materialise, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -367,7 +367,7 @@ def _line_pages(spark, sf_dir, y=None):
     from pyspark.sql import Window
 
     one = Window.partitionBy("l_orderkey")
-    rows = read(spark, sf_dir, "lineitem").withColumn("page", F.row_number().over(one.orderBy(*_LINE_ORDER.split(", ")))).withColumn("_y", F.count("*").over(one).cast("int"))
+    rows = by_keys(read(spark, sf_dir, "lineitem"), ["l_orderkey"], 4 << 20).withColumn("page", F.row_number().over(one.orderBy(*_LINE_ORDER.split(", ")))).withColumn("_y", F.count("*").over(one).cast("int"))
     y = F.col("_y") if y is None else y
     mark = F.array(F.struct(F.col("l_linenumber").alias("n"), y.alias("y"), F.lit("").alias("raw"), F.lit(None).cast("string").alias("source")))
     return rows.select("l_orderkey", "page", F.col("page").alias("pos"), mark.alias("page_marker_candidates"))
