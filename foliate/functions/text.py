@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliate.functions.batches import bound_batches
+
 #: White space as Python's str methods see it: Java's Unicode class lacks the four separators.
 _SPACES = r"[\s\x1c-\x1f]"
 SPACE = "(?U)" + _SPACES
@@ -94,6 +96,7 @@ def held(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def compatible(df: DataFrame, text: str) -> DataFrame:
     """Apply NFKC to the rows of a text column that it can change, in one pass; the texts of the others never leave the JVM."""
+    bound_batches(df.sparkSession)
     odd = F.when(F.col(text).rlike(compatibility_class()), F.col(text))
     return df.withColumn(text, F.coalesce(_nfkc(odd), F.col(text)))
 

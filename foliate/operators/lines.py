@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliate.functions.batches import bound_batches
 from foliate.functions.rows import each
 from foliate.functions.text import FUZZY_CUTOFF, NearLines, normalize_phrase, squash_dashes
 from foliate.operators.profile import classify_lines, probe
@@ -119,6 +120,7 @@ def title_lines(lines: DataFrame, form: Sequence[str], form_text: str, other_tex
 
 def urla_lines(lines: DataFrame, form: Sequence[str], form_text: str, codes: Sequence[str] = (), line: str = "line") -> DataFrame:
     """Add ``line_class`` and ``near`` (the form's line that one of 12 characters or more is like) of lines of applications."""
+    bound_batches(lines.sparkSession)
     rows = lines.withColumn("near", nearest(list(form))(F.col(line)))
     c = F.col(line)
     rules = [

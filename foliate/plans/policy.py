@@ -16,6 +16,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliate.functions.batches import bound_batches
 from foliate.functions.text import found_phrases, held, normalize_phrase
 
 METHODS, FUZZY, PATTERNS, SPECS = "_methods", "_fuzzy", "_patterns", "_specs"
@@ -182,6 +183,7 @@ class Matcher:
         if not self.phrases:
             rows = views.withColumn(METHODS, F.array().cast("array<string>")).withColumn(FUZZY, F.create_map().cast("map<string,string>"))
         elif self.fuzzy:
+            bound_batches(views.sparkSession)
             rows = held(views, FUZZY, found_phrases(self.phrases)("lines", "fulltext"))
             exact = lambda p: F.when(F.array_contains("lines", p), "line").otherwise("substring")
             rows = self._methods(rows, lambda p: F.when(F.map_contains_key(F.col(FUZZY), p), F.when(F.element_at(F.col(FUZZY), p).isNull(), exact(p)).otherwise("fuzzy")))

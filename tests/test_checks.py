@@ -4,6 +4,7 @@ import difflib
 import json
 import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 from foliate import pipeline
 from foliate.functions import text
+from foliate.functions.batches import BATCH_BYTES, release_batches
 from foliate.operators import classify, evaluate, grouping, lines, profile, provider
 from foliate.plans import policies as mortgage
 from foliate.plans import prompts
+from foliate.plans.policy import Matcher
 from foliate.sources import sinks, synthetic
 from foliate.sources.tables import materialise
 
@@ -234,6 +237,28 @@ def test_near_lines_in_bounded_slices(monkeypatch):
     assert len(sizes) > 20 and max(sizes[1:]) <= 1000
 
 
+def test_pages_go_to_python_in_bounded_batches(spark):
+    @F.arrow_udf("long")
+    def batch_bytes(texts: pa.Array) -> pa.Array:
+        return pa.array([texts.nbytes] * len(texts), pa.int64())
+
+    release_batches(spark)
+    pages = spark.range(600, numPartitions=1).select("id", F.repeat(F.lit("filler words\n"), 4000).alias("text"))
+    largest = lambda df: max(r.b for r in df.select(batch_bytes("text").alias("b")).collect())
+    assert largest(pages) > 20 << 20
+    rules = Matcher(mortgage.POLICIES[:1], fuzzy=True)
+    for step in (lambda: text.compatible(pages, "text"), lambda: rules.add(text.with_views(pages, "text", nfkc=False)), lambda: lines.urla_lines(pages, ["filler words"], "", line="text")):
+        assert spark.conf.get(BATCH_BYTES, None) is None
+        step()
+        assert largest(pages) < 6 << 20  # before, these pages of 52 000 characters were one batch
+        release_batches(spark)
+    spark.conf.set(BATCH_BYTES, "1m")
+    text.compatible(pages, "text")
+    release_batches(spark)
+    assert spark.conf.get(BATCH_BYTES) == "1m"  # the session's own stays
+    spark.conf.unset(BATCH_BYTES)
+
+
 def test_needed_literals():
     from foliate.plans.policy import needed
 
