@@ -175,12 +175,21 @@ def harvested(views: DataFrame, by: str) -> DataFrame:
     return rows.filter((F.length(line) >= 3) & ~full_match(line, VALUE) & ~full_match(line, DATE)).distinct()
 
 
-def by_frequency(rows: DataFrame, line: str, page: str, shown: int = 6) -> DataFrame:
-    """line, n (rows with it), pages (the first ``shown`` different pages), the most frequent first in a listing."""
-    first = Window.partitionBy(line).orderBy(page)
-    few = rows.select(line, page).distinct().withColumn("_at", F.row_number().over(first)).filter(F.col("_at") <= shown)
-    listed = few.groupBy(line).agg(F.array_sort(F.collect_list(page)).alias("pages"))
-    return rows.groupBy(line).agg(F.count("*").alias("n")).join(listed, line)
+def by_frequency(rows: DataFrame, line: str, page: str, shown: int = 6, shares: int = 64) -> DataFrame:
+    """line, n (rows with it), pages (the first ``shown`` different pages, null ones aside), the most frequent first in a listing.
+
+    Rows are read once and dealt by line and by one of ``shares`` shares of the pages, so that a line of all pages is not the work
+    of one task; each share passes on its count and its first pages.  Sorting is by a hash of the line, its text settles equal ones.
+    """
+    keyed = rows.filter(F.col(line).isNotNull()).select(line, page, F.xxhash64(line).alias("_h"), F.pmod(F.xxhash64(page), F.lit(shares)).alias("_s"))
+    of_share = Window.partitionBy("_h", "_s", line).orderBy(F.asc_nulls_last(page))
+    of_line = Window.partitionBy("_h", line).orderBy(F.asc_nulls_last(page))
+    whole = (Window.unboundedPreceding, Window.unboundedFollowing)
+    dealt = keyed.repartition("_h", "_s").select("*", F.count("*").over(of_share.rowsBetween(*whole)).alias("_n"), F.row_number().over(of_share).alias("_row"), F.dense_rank().over(of_share).alias("_at"), F.lag(page).over(of_share).alias("_last"))
+    few = dealt.filter((F.col("_at") <= shown) & ((F.col("_row") == 1) | ~F.col("_last").eqNullSafe(F.col(page))))
+    few = few.select("_h", line, page, F.when(F.col("_row") == 1, F.col("_n")).otherwise(0).alias("_n"))
+    found = few.repartition("_h").select(line, F.sum("_n").over(of_line.rowsBetween(*whole)).alias("n"), F.collect_list(page).over(of_line.rowsBetween(0, shown - 1)).alias("pages"), F.row_number().over(of_line).alias("_row"))
+    return found.filter("_row = 1").drop("_row")
 
 
 def listing(rows: DataFrame, n: str, by: str, limit: int, width: int = 110) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import difflib
 import json
+import random
 import re
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from foliate import pipeline
+from foliate import pipeline, queries
 from foliate.functions import text
 from foliate.functions.batches import BATCH_BYTES, release_batches
 from foliate.operators import classify, evaluate, grouping, lines, profile, provider
@@ -20,6 +21,8 @@ from foliate.plans.policy import Matcher
 from foliate.sources import sinks, synthetic
 from foliate.sources.tables import materialise
 
+from .conftest import SF
+
 URLA, INCOME = "Uniform Residential Loan Application", "Wage and Income Transcript"
 
 
@@ -187,6 +190,19 @@ def test_listings_and_forms(spark):
     assert [(r.n, r.a, r.b, r.a_text, r.b_text) for r in pairs.collect()] == [(1, 0, 4, "x", "y")]
 
 
+def test_frequent_lines_equal_brute_force_and_read_pages_once(spark):
+    draw = random.Random(5)
+    rows = [(draw.choice("aaaabbcdefghij"), draw.choice([None, *range(40)])) for _ in range(400)] + [("once", 3), ("no page", None), ("no page", None), (None, 1), ("few", None), *(("few", p) for p in range(6))]
+    df = spark.createDataFrame(rows, "line string, page int")
+    want = {x: (sum(y == x for y, _ in rows), sorted({p for y, p in rows if y == x and p is not None})[:6]) for x, _ in rows if x is not None}
+    for shares in (1, 3, 64):
+        found = lines.by_frequency(df, "line", "page", shares=shares).collect()
+        assert {r.line: (r.n, list(r.pages)) for r in found} == want and len(found) == len(want)  # before, a null page took the place of the sixth
+    assert lines.by_frequency(df.filter("false"), "line", "page").collect() == []
+    plan = queries.QUERIES["unmatched_lines"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1  # before, once for the counts and once for the pages
+
+
 def test_planted_pages(spark):
     df = spark.createDataFrame([(k, "filler words") for k in range(400)], "doc_id long, text string")
     pages = synthetic.pages(df, mortgage.POLICIES)
